@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from skein.llm.packing import op2_packing
 from skein.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
