@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from skein.llm.packing import op2_packing
+from skein.llm.secrets import op6_secrets
+from skein.llm.sharding import op7_sharding
 from skein.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op6_secrets, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
