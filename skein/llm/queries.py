@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from skein.llm.ann import op9_ann
 from skein.llm.embed_dedup import op10_embed_dedup
+from skein.llm.language import op5_language
 from skein.llm.packing import op2_packing
+from skein.llm.quality import op4_quality
 from skein.llm.secrets import op6_secrets
 from skein.llm.sharding import op7_sharding
 from skein.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op6_secrets, op7_sharding, op9_ann, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_quality, op5_language, op6_secrets, op7_sharding, op9_ann, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
