@@ -8,6 +8,7 @@ vocabulary that keeps white space, is encoded as a whole.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -15,20 +16,37 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 
+#: A task has one core.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+#: Marks that, after a word, are one piece of their own. Not the apostrophe, which may begin a contraction.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds:
     """``ids(text)``: little-endian ids of a text's bytes; equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, name: str, most: int = 400_000) -> None:
+    def __init__(self, name: str, most: int = 1_000_000) -> None:
         path = public_tokenizers.path(name)
-        self.encode = Tokenizer.from_file(path).encode
-        spec = json.loads(open(path, encoding="utf-8").read())
-        vocab = spec["model"]["vocab"]
+        whole = Tokenizer.from_file(path)
+        self.encode, self.batch = whole.encode, whole.encode_batch_fast
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, model = spec["model"]["vocab"], spec["model"]
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 65_536 and all(t["id"] < 65_536 for t in spec["added_tokens"]) else "<u4")
-        self.by_chunk = any(p.get("behavior") == "Removed" and p.get("invert") for p in spec["pre_tokenizer"].get("pretokenizers", []))
-        suffix = spec["model"].get("end_of_word_suffix") or ""
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_chunk = any(p.get("behavior") == "Removed" and p.get("invert") for p in steps)
+        self.lower = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        suffix = model.get("end_of_word_suffix") or ""
+        self.by_word = self.by_chunk and self.lower and bool(suffix) and any(p["type"] == "ByteLevel" for p in steps)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        if suffix:
+        if self.by_word:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # the same model behind a plain split at blanks, for words that are normal already
+        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []})).encode_batch_fast
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_level = {b: 256 + k for k, b in enumerate(hidden)}
         self.specials = tuple({t["content"][:2].encode() for t in spec["added_tokens"]})
         self.known: dict[bytes, bytes] = {}
         self.most = most
@@ -39,41 +57,50 @@ class WordIds:
     def ids(self, text: bytes) -> bytes:
         if not self.by_chunk or any(s in text for s in self.specials):
             return self.whole(text.decode())
-        if text.isascii():
+        if self.lower and text.isascii():
             text = text.lower()
-        chunks, known = text.split(), self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            got = self._encoded(new)
-            if len(known) + len(got) > self.most:
-                return b"".join([known[c] if c in known else got[c] for c in chunks])
-            known.update(got)
-        return b"".join(map(known.__getitem__, chunks))
-
-    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Of new chunks: words of letters go to the tokenizer together and are told apart by their last tokens."""
-        known, got, words, stops = self.known, {}, {}, []
-        for c in chunks:
-            s = c.decode()
+        chunks = text.split()
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            new = self._encoded({c for c, i in zip(chunks, found, strict=True) if i is None})
+            if len(self.known) + len(new) <= self.most:
+                self.known.update(new)
+            found = [new[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
+        return b"".join(found)
+
+    def _word(self, s: str) -> str | None:
+        """The normal form of a word of Latin letters without combining marks, as the model sees it; else None."""
+        if self.by_word and s.isalpha() and max(s) < "\u0250":
+            s = s.lower()
             if s.isalpha():
-                words[c] = s
-            elif s[-1] in ".," and s[:-1].isalpha():
-                stops.append(c)
-                if c[:-1] not in known:
-                    words[c[:-1]] = s[:-1]
-                if c[-1:] not in known and c[-1:] not in got:
-                    got[c[-1:]] = self.whole(s[-1])
-            else:
-                got[c] = self.whole(s)
-        ids = np.array(self.encode(" ".join(words.values()), add_special_tokens=False).ids, self.dtype)
-        at = np.flatnonzero(self.ends[ids]) + 1
-        if len(at) == len(words):
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            got.update((c, raw[a * width : b * width]) for c, a, b in zip(words, [0, *at.tolist()], at.tolist(), strict=False))
-        else:
-            got.update((c, self.whole(s)) for c, s in words.items())
-        for c in stops:
-            got[c] = (got[c[:-1]] if c[:-1] in got else known[c[:-1]]) + (got[c[-1:]] if c[-1:] in got else known[c[-1:]])
+                return s if s.isascii() else s.encode().decode("latin-1").translate(self.byte_level)
+        return None
+
+    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Of new chunks: words, parted from marks after them, go to the model together and are told apart by their last tokens."""
+        known, got, words, split, odd = self.known, {}, {}, [], []
+        for c in chunks:
+            head = c.rstrip(MARKS) if self.by_word else b""
+            if not head or (w := self._word(head.decode())) is None:
+                odd.append(c)
+                continue
+            if head not in known:
+                words[head] = w
+            if head != c:
+                marks = c[len(head) :]
+                split.append((c, head, marks))
+                if marks not in known and marks not in got:
+                    got[marks] = self.whole(marks.decode())
+        if odd:
+            got.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(odd, self.batch([c.decode() for c in odd], add_special_tokens=False), strict=True))
+        if words:
+            ids = np.array(self.words([" ".join(words.values())], add_special_tokens=False)[0].ids, self.dtype)
+            at = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            raw = ids.tobytes()
+            assert len(at) == len(words), "a word did not end in its last token"
+            got.update((c, raw[a:b]) for c, a, b in zip(words, [0, *at.tolist()], at.tolist(), strict=False))
+        for c, head, marks in split:
+            got[c] = (got[head] if head in got else known[head]) + (got[marks] if marks in got else known[marks])
         return got
 
 
