@@ -10,10 +10,11 @@ from skein.llm.quality import op4_quality
 from skein.llm.secrets import op6_secrets
 from skein.llm.sharding import op7_sharding
 from skein.llm.simhash import op1_simhash
+from skein.llm.suffix_dedup import op8_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_quality, op5_language, op6_secrets, op7_sharding, op9_ann, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_quality, op5_language, op6_secrets, op7_sharding, op8_suffix_dedup, op9_ann, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
