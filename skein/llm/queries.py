@@ -5,6 +5,7 @@ from __future__ import annotations
 from skein.llm.ann import op9_ann
 from skein.llm.embed_dedup import op10_embed_dedup
 from skein.llm.language import op5_language
+from skein.llm.mixing import op3_mixing
 from skein.llm.packing import op2_packing
 from skein.llm.quality import op4_quality
 from skein.llm.secrets import op6_secrets
@@ -14,7 +15,7 @@ from skein.llm.suffix_dedup import op8_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_quality, op5_language, op6_secrets, op7_sharding, op8_suffix_dedup, op9_ann, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_mixing, op4_quality, op5_language, op6_secrets, op7_sharding, op8_suffix_dedup, op9_ann, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

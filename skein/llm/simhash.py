@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,10 @@ def masks(radius: int) -> list[int]:
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     """Unsigned fingerprint of one text: bit b is set if over half of the shingles' XXH64 have it."""
-    w = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII spaces
+    return vote((text or b"").lower().split(), words, seed)  # bytes: A-Z only, and the six ASCII spaces
+
+
+def vote(w: list[bytes], words: int, seed: int) -> int:
     if not w:
         return 0
     h64, join = xxhash.xxh64_intdigest, b" ".join
@@ -71,8 +76,23 @@ def fingerprints(docs: DataFrame, keep: list[str], words: int = 4, seed: int = 4
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least fingerprint, in the bucket, of each one's component. Blocks of rows bound the memory."""
+class Criterion(NamedTuple):
+    """Two nodes are linked if their fingerprints differ in at most ``radius`` bits, and their codes in at most ``code``."""
+
+    radius: int
+    code: int = 0
+
+    def near(self, fps: np.ndarray, codes: np.ndarray | None, lo: int, hi: int) -> np.ndarray:
+        """Rows lo to hi against the rows from lo on."""
+        close = np.bitwise_count(fps[lo:hi, None] ^ fps[None, lo:]) <= self.radius
+        if codes is not None:
+            i, j = np.nonzero(close)
+            close[i, j] = np.bitwise_count(codes[lo + i] ^ codes[lo + j]).sum(1, dtype=np.int64) <= self.code
+        return close
+
+
+def _forest(fps: np.ndarray, codes: np.ndarray | None, criterion: Criterion) -> np.ndarray:
+    """Least member of each one's component in a bucket. Blocks of rows bound the memory."""
     n = len(fps)
     label = np.arange(n)
 
@@ -83,74 +103,71 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         return i
 
     for lo in range(0, n, 256):
-        near = np.bitwise_count(fps[lo : lo + 256, None] ^ fps[None, lo:]) <= radius
-        for k, row in enumerate(near):
-            for j in _new(row, k, lo, label):
+        for k, row in enumerate(criterion.near(fps, codes, lo, min(n, lo + 256))):
+            js = np.flatnonzero(row[k + 1 :]) + lo + k + 1
+            for j in js[np.unique(label[js], return_index=True)[1]] if len(js) > 1 else js:  # one of each present label
                 a, b = root(lo + k), root(int(j))
                 if a != b:
                     label[max(a, b)] = min(a, b)
-    return fps, np.array([root(i) for i in range(n)])
-
+    return np.array([root(i) for i in range(n)])
 
-def _new(row: np.ndarray, k: int, lo: int, label: np.ndarray) -> np.ndarray:
-    """One neighbour for each present label is enough."""
-    js = np.flatnonzero(row[k + 1 :]) + lo + k + 1
-    return js[np.unique(label[js], return_index=True)[1]] if len(js) > 1 else js
 
+def _linked(criterion: Criterion):
+    """Buckets ``(ids, fps, codes)`` to a spanning forest of the links in each."""
 
-def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
-            for fps in batch.column(0):
-                own = np.sort(np.asarray(fps.values.to_numpy(zero_copy_only=False), np.int64))
-                at, label = _forest(own, radius)
-                moved = label != np.arange(len(own))
-                u.append(at[moved])
-                v.append(at[label[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], names=["u", "v"])
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for ids, fps, codes in zip(*batch.columns, strict=True):
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                order = np.argsort(ids, kind="stable")
+                own = None if codes.values is None else np.frombuffer(b"".join(codes.as_py()), "<u8").reshape(len(ids), -1)[order]
+                label = _forest(fps.values.to_numpy(zero_copy_only=False)[order], own, criterion)
+                moved = label != np.arange(len(ids))
+                u.append(ids[order][moved])
+                v.append(ids[order][label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
 
     return run
 
 
-def _midpoints(fps: DataFrame, radius: int) -> DataFrame:
-    """Star edges of fingerprints that share a point within half the radius."""
+def _midpoints(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes(id, fp)`` at every point within half the radius of their fingerprint: ``(id, point)``."""
     half = radius // 2
     flips = [signed(sum(1 << i for i in c)) for k in range(half + 1) for c in combinations(range(BITS), k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array(flips, np.int64)
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo in range(0, len(at), 32):
-                part = at[lo : lo + 32]
-                yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ own[None, :]).ravel()), pa.array(np.repeat(part, len(own)))], names=["point", "fp"])
+            ids, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for lo in range(0, len(ids), 32):
+                points = (fps[lo : lo + 32, None] ^ own[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 32], len(own))), pa.array(points)], names=["id", "point"])
 
-    points = fps.mapInArrow(run, "point long, fp long")
-    least = points.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
-    return points.join(least, "point").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+    return nodes.select("id", "fp").mapInArrow(run, "id long, point long")
 
 
-def bucket_key(fp: Column, radius: int) -> Column:
+def bucket_keys(fp: Column, radius: int) -> Column:
     """``array<struct<t, key>>``: the fingerprint under every mask."""
     return F.array(*(F.struct(F.lit(t).cast("short").alias("t"), fp.bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(radius))))
 
 
 def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """``fps(fp)``, distinct -> ``(u, v)``: edges within the radius with the same components as all such edges.
-
-    The radius must be even: midpoints halve it.
-    """
+    """``fps(fp)``, distinct -> ``(u, v)``: edges within the radius, an even one, that have the components of all such edges."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    dealt = fps.select("fp", F.explode(bucket_key(F.col("fp"), radius)).alias("b")).select("fp", "b.t", "b.key")
+    dealt = fps.select("fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("b")).select("fp", "b.t", "b.key")
     counts = dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
     counts = stored(counts, "simhash-buckets")
     two = counts.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     some = dealt.join(counts.where(f"n > 2 and n <= {bucket}").select("t", "key"), ["t", "key"])
-    few = some.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_linked(radius), "u long, v long")
+    few = some.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select(F.col("fps").alias("ids"), "fps", F.lit(None).cast("array<binary>").alias("codes"))
+    few = few.mapInArrow(_linked(Criterion(radius)), "u long, v long")
     hot = dealt.join(counts.where(f"n > {bucket}").select("t", "key"), ["t", "key"]).select("fp").distinct()
-    return two.unionAll(few).unionAll(_midpoints(hot, radius)).distinct()
+    points = _midpoints(hot.select(F.col("fp").alias("id"), "fp"), radius)
+    least = points.groupBy("point").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
+    stars = points.join(least, "point").where("id != v").select(F.col("id").alias("u"), "v")
+    return two.unionAll(few).unionAll(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
@@ -170,5 +187,59 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return fp.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def code_bits(similarity: float, bits: int) -> int:
+    """Differing bits, of ``bits``, that sets of this Jaccard similarity and equal sizes have at most but for half a deviation."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + 0.5 * sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, seeds: tuple[int, ...] = (42, 43), code_words: int = 8, bucket: int = BUCKET) -> DataFrame:
+    """One row for each row of docs: ``doc_id, text_hash, component_id, kept``, by estimated similarity of ``words``-word shingles.
+
+    Candidates have fingerprints of single words that differ in at most ``radius`` bits, for any of the seeds: at 0.8 on
+    shingles of five words at most 2 % of the words differ, which moves few of these bits. A candidate pair is linked if
+    its codes, SimHashes of ``words``-word shingles with 64 x ``code_words`` bits, are as close as the similarity demands.
+    component_id is the smallest doc_id reachable; kept marks the component's first row by doc_id and text_hash, and its
+    repeats. Nulls, repeats and other columns are as for near_duplicates.
+    """
+    names = [f"fp{i}" for i in range(len(seeds))]
+    limit = Criterion(radius, code_bits(similarity, 64 * code_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column(2).cast(pa.binary()):
+                w = (t.as_py() or b"").lower().split()
+                rows.append(([vote(w, 1, s) for s in seeds], np.array([vote(w, words, s) for s in range(code_words)], "<u8").tobytes()))
+            fps = [pa.array(np.array([r[0][i] for r in rows], np.uint64).view(np.int64)) for i in range(len(seeds))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fps, pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "text_hash", *names, "code"])
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    schema = texts.select("doc_id", "text_hash", *(F.lit(0).cast("long").alias(n) for n in names), F.lit(b"").alias("code")).schema
+    seen = stored(texts.mapInArrow(run, schema), "simhash-codes")
+    nodes = seen.groupBy(*names, "code").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
+    dealt = None
+    for k, name in enumerate(names):
+        one = nodes.select("id", F.col(name).alias("fp"), "code", F.explode(bucket_keys(F.col(name), radius)).alias("b")).select("id", "fp", "code", F.lit(k).alias("k"), "b.t", "b.key")
+        dealt = one if dealt is None else dealt.unionAll(one)
+    by = ["k", "t", "key"]
+    counts = stored(dealt.select(*by).groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+    packed = lambda df, key: df.groupBy(*key).agg(F.collect_list(F.struct("id", "fp", "code")).alias("x")).select(F.col("x.id").alias("ids"), F.col("x.fp").alias("fps"), F.col("x.code").alias("codes"))
+    few = packed(dealt.join(counts.where(f"n <= {bucket}").select(*by), by), by)
+    hot = dealt.join(counts.where(f"n > {bucket}").select(*by), by).select("k", "id", "fp", "code").dropDuplicates(["k", "id"])
+    near = None
+    for k in range(len(names)):
+        own = hot.where(F.col("k") == k)
+        points = _midpoints(own, radius).join(own.select("id", "fp", "code"), "id")
+        near = packed(points, ["point"]) if near is None else near.unionAll(packed(points, ["point"]))
+    edges = few.unionAll(near.where(F.size("ids") > 1)).mapInArrow(_linked(limit), "u long, v long")
+    cc = connected_components(edges)
+    of = nodes.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    least = of.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("first").alias("kept_row"))
+    met = seen.join(of.join(least, "label").select(*names, "code", "component_id", "kept_row"), [*names, "code"])
+    return met.select("doc_id", "text_hash", "component_id", (F.struct("doc_id", "text_hash") == F.col("kept_row")).alias("kept"))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
