@@ -29,16 +29,14 @@ def gtin_validity(c: Column) -> Column:
     return F.when(blank, "missing").when(gtin_canonical(c).isNull(), "malformed").when(gtin_checksum_ok(c), "valid").otherwise("checksum_invalid")
 
 
-def evidence(ns: str, raw: Column, scope: Column | None, field: Column | str) -> Column:
-    """One identifier's evidence, or null for a blank code. ``scope`` null takes the kind's default."""
-    default = {"gtin": "exact_variant", "mpn": "exact_variant", "merchant_sku": "merchant_offer", "style_code": "style_colorway"}[ns]
-    doubtful = raw.contains("?") if ns == "mpn" else F.lit(False)
-    canonical = gtin_canonical(raw) if ns == "gtin" else F.when(~doubtful, squeeze(raw))
-    validity = gtin_validity(raw) if ns == "gtin" else F.when(doubtful, "malformed").otherwise("valid")
-    of = F.coalesce(scope, F.lit(default)) if scope is not None else F.lit(default)
-    field = F.lit(field) if isinstance(field, str) else field
-    made = F.struct(F.lit(ns).alias("ns"), raw.alias("raw"), canonical.alias("canonical"), of.alias("scope"), validity.alias("validity"), field.alias("source_field"))
-    return F.when(F.length(F.trim(raw)) > 0, made.cast(EVIDENCE))
+def from_code(code: Column) -> Column:
+    """Evidence of a code ``(ns, raw, scope, field)`` as its source gives it; a missing scope takes the kind's default."""
+    ns, raw = code["ns"], code["raw"]
+    doubtful = (ns == "mpn") & raw.contains("?")
+    default = F.when(ns == "merchant_sku", "merchant_offer").when(ns == "style_code", "style_colorway").otherwise("exact_variant")
+    canonical = F.when(ns == "gtin", gtin_canonical(raw)).when(~doubtful, squeeze(raw))
+    validity = F.when(ns == "gtin", gtin_validity(raw)).when(doubtful, "malformed").otherwise("valid")
+    return F.struct(ns.alias("ns"), raw.alias("raw"), canonical.alias("canonical"), F.coalesce(code["scope"], default).alias("scope"), validity.alias("validity"), code["field"].alias("source_field")).cast(EVIDENCE)
 
 
 def usable(ids: Column, ns: str) -> Column:

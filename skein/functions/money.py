@@ -22,13 +22,13 @@ def parse_money(c: Column) -> Column:
     return F.when(text.rlike(AMOUNT), F.replace(text, F.lit(","), F.lit("")).try_cast("double"))
 
 
-def evidence(amount: Column, list_price: Column, currency: Column, kind: Column, hint: Column, terms: Column, availability: Column, observed_at: Column, raw: Column, field: str) -> Column:
+def evidence(amount: Column, list_price: Column, currency: Column, kind: Column, hint: Column, terms: Column, availability: Column, observed_at: Column, raw: Column, field: Column) -> Column:
     """Price evidence; a raw price without an amount is invalid. ``terms`` is JSON text, null for none."""
     none = F.coalesce(terms.isin("{}", ""), F.lit(True))
     values = {
         "amount": amount, "list_price": list_price, "currency": F.coalesce(currency, F.lit(CURRENCY)), "price_kind": F.coalesce(kind, F.lit(TOTAL)), "comparability": hint,
         "terms": F.when(~none, terms), "availability": availability, "observed_at": observed_at,
-        "validity": F.when(amount.isNull() & (F.length(F.trim(raw)) > 0), "invalid").otherwise("valid"), "raw": raw, "source_field": F.lit(field),
+        "validity": F.when(amount.isNull() & (F.length(F.trim(raw)) > 0), "invalid").otherwise("valid"), "raw": raw, "source_field": field,
     }
     return F.struct(*(v.alias(k) for k, v in values.items())).cast(EVIDENCE)
 

@@ -51,9 +51,9 @@ def volume_ml(text: Column) -> tuple[Column, Column]:
     return F.coalesce(ml, near), F.when(ml.isNotNull(), "normalized").otherwise("inferred")
 
 
-def title_attributes(title: Column, field: Column) -> Column:
-    """All attributes of a title; empty for null."""
-    text = clean(title)
+def title_attributes(title: Column, field: Column, cleaned: bool = False) -> Column:
+    """All attributes of a title; empty for null. ``cleaned`` says that it is clean already."""
+    text = title if cleaned else clean(title)
     low = F.lower(text)
     word = lambda pattern: low.rlike(rf"\b({pattern})\b")
     number = lambda key, value, derivation="normalized": attribute(key, plain_number(value), text, field, "number", derivation)

@@ -1,8 +1,8 @@
 """Schema adapters: payloads of known shapes to one extraction struct.
 
-An adapter is a predicate and a set of expressions over the parsed payload. ``extract`` picks, for every row, the first
-adapter whose predicate holds, in one projection: a source may mix schemas row by row. A registry is a list; users add
-their own adapters in front.
+An adapter is a predicate and a set of expressions over the parsed payload that say where the raw values are. ``extract``
+picks, for every row, the first adapter whose predicate holds, in one projection: a source may mix schemas row by row.
+What the values mean is worked out once, after that, for all adapters. A registry is a list; users add their own in front.
 """
 
 from __future__ import annotations
@@ -20,9 +20,13 @@ from skein.sources.events import has, node_at, number_at, text_at
 ATTRIBUTES = f"array<{titles.EVIDENCE}>"
 FIELDS = {
     "record_id": "string", "seller": "string", "title": "string", "brand": "string", "condition": "string", "availability": "string", "product_type": "string", "content_origin": "string",
-    "source_updated_at": "string", "observed_at": "string", "url": "string", "merchant_sku": "string", "identifiers": f"array<{identifiers.EVIDENCE}>", "attrs": ATTRIBUTES, "money": money.EVIDENCE,
+    "source_updated_at": "string", "observed_at": "string", "url": "string", "merchant_sku": "string", "identifiers": f"array<{identifiers.EVIDENCE}>", "attrs": ATTRIBUTES, "nulls": "array<string>", "money": money.EVIDENCE,
+}
+#: What adapters give: codes and prices as they stand in the payload.
+RAW = {k: t for k, t in FIELDS.items() if k not in ("identifiers", "money")} | {
+    "title_field": "string", "codes": "array<struct<ns:string,raw:string,scope:string,field:string>>",
+    "price": "struct<amount:double,amount_text:string,list_price:double,list_text:string,currency:string,kind:string,hint:string,terms:string,raw:string,field:string>",
 }
-EXTRACTION = "struct<" + ",".join(f"{k}:{t}" for k, t in FIELDS.items()) + ">"
 
 
 class Adapter(NamedTuple):
@@ -50,8 +54,22 @@ def _entries(node: Column) -> Column:
     return F.coalesce(kept, F.array().cast("array<struct<key:string,value:variant>>"))
 
 
-def _listed(*parts: Column, of: str) -> Column:
-    return F.filter(F.array(*parts), lambda x: x.isNotNull()).cast(f"array<{of}>")
+def _nulls(node: Column) -> Column:
+    """Keys of an object whose value is an explicit null: a patch withdraws these."""
+    entries = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
+    return F.transform(F.filter(entries, lambda e: e["value"].isNull() | F.coalesce(F.is_variant_null(e["value"]), F.lit(True))), lambda e: e["key"])
+
+
+def _codes(*codes: tuple[str, Column, Column | None, str]) -> Column:
+    """Codes as ``(kind, raw, declared scope, field)``."""
+    none = F.lit(None).cast("string")
+    return F.array(*(F.struct(F.lit(ns).alias("ns"), raw.cast("string").alias("raw"), (none if scope is None else scope).alias("scope"), F.lit(field).alias("field")) for ns, raw, scope, field in codes)).cast(RAW["codes"])
+
+
+def _price(**parts: Column | str) -> Column:
+    names = "amount amount_text list_price list_text currency kind hint terms raw field".split()
+    as_column = lambda v: F.lit(v) if v is None or isinstance(v, str) else v
+    return F.struct(*(as_column(parts.get(n)).alias(n) for n in names)).cast(RAW["price"])
 
 
 def _attributes(entries: Column, prefix: str, without: tuple[str, ...] = ("condition",)) -> Column:
@@ -66,7 +84,7 @@ def _of(entries: Column, key: str) -> Column:
 
 def _styles(entries: Column, prefix: str) -> Column:
     own = F.filter(entries, lambda e: (e["key"] == "style_code") & (F.schema_of_variant(e["value"]) == "STRING"))
-    return F.transform(own, lambda e: identifiers.evidence("style_code", F.try_variant_get(e["value"], "$", "string"), None, f"{prefix}.style_code"))
+    return F.transform(own, lambda e: F.struct(F.lit("style_code").alias("ns"), F.try_variant_get(e["value"], "$", "string").alias("raw"), F.lit(None).cast("string").alias("scope"), F.lit(f"{prefix}.style_code").alias("field"))).cast(RAW["codes"])
 
 
 def _terms(node: Column) -> Column:
@@ -93,33 +111,29 @@ def _csv(p: Column) -> dict[str, Column]:
     promo, updated = at("promotion_text"), at("last_updated")
     inner = F.when(F.trim(promo).startswith("{"), F.try_parse_json(promo))
     terms = F.when(inner.isNotNull(), _terms(inner)).otherwise(F.when(F.length(F.trim(promo)) > 0, F.to_json(F.struct(promo.alias("promotion_text")))))
-    title = clean(at("product_name"))
     return {
-        "record_id": at("record_id"), "seller": at("merchant"), "title": title, "condition": at("condition"), "availability": at("availability"), "product_type": at("product_type"),
+        "record_id": at("record_id"), "seller": at("merchant"), "title": at("product_name"), "title_field": F.lit("product_name"), "condition": at("condition"), "availability": at("availability"), "product_type": at("product_type"),
         "content_origin": F.nullif(F.trim(at("upstream_origin")), F.lit("")), "source_updated_at": updated, "observed_at": updated, "url": at("deep_link"), "merchant_sku": at("merchant_sku"),
-        "identifiers": _listed(identifiers.evidence("merchant_sku", at("merchant_sku"), None, "merchant_sku"), identifiers.evidence("gtin", at("ean"), None, "ean"), identifiers.evidence("mpn", at("manufacturer_part_number"), None, "manufacturer_part_number"), of=identifiers.EVIDENCE),
-        "attrs": titles.title_attributes(title, F.lit("product_name")),
-        "money": money.evidence(money.parse_money(at("sale_price")), money.parse_money(at("retail_price")), at("currency"), at("price_kind"), at("comparability"), terms, at("availability"), updated, at("sale_price"), "sale_price"),
+        "codes": _codes(("merchant_sku", at("merchant_sku"), None, "merchant_sku"), ("gtin", at("ean"), None, "ean"), ("mpn", at("manufacturer_part_number"), None, "manufacturer_part_number")),
+        "price": _price(amount_text=at("sale_price"), list_text=at("retail_price"), currency=at("currency"), kind=at("price_kind"), hint=at("comparability"), terms=terms, raw=at("sale_price"), field="sale_price"),
     }
 
 
-def _nested(title: str, fields: dict[str, str], scopes: str | None, sku: Column | str, gtin: str, mpn: str, attributes: str | None, amount: Column, list_price: Column, raw: Column, price: str, terms: Column, more: dict[str, str]):
+def _nested(title: str, fields: dict[str, str], scopes: str | None, sku: Column | str, gtin: str, mpn: str, attributes: str | None, price: dict, price_field: str, terms: Callable[[Column], Column], more: dict[str, str]):
     """Shapes that differ in paths only."""
 
     def extract(p: Column) -> dict[str, Column]:
         at = lambda path: text_at(p, f"$.{path}")
         scope = lambda ns: at(f"{scopes}.{ns}") if scopes else None
         out = {k: at(path) for k, path in fields.items()}
-        out["title"] = clean(at(title))
         number = sku(p) if callable(sku) else at(sku)
         entries = _entries(node_at(p, f"$.{attributes}")) if attributes else F.array().cast("array<struct<key:string,value:variant>>")
-        out["merchant_sku"] = F.when(F.length(F.trim(number)) > 0, number)
-        ids = _listed(identifiers.evidence("merchant_sku", number, scope("merchant_sku"), "page_url" if callable(sku) else sku), identifiers.evidence("gtin", at(gtin), scope("gtin"), gtin), identifiers.evidence("mpn", at(mpn), scope("mpn"), mpn), of=identifiers.EVIDENCE)
-        out["identifiers"] = F.concat(ids, _styles(entries, attributes or ""))
-        out["attrs"] = F.concat(_attributes(entries, attributes or ""), titles.title_attributes(out["title"], F.lit(title)))
-        out["condition"] = _of(entries, "condition")
-        out["money"] = money.evidence(amount(p), list_price(p), at(more["currency"]) if "currency" in more else F.lit(None), at(more["kind"]), at(more["hint"]), terms(p), out["availability"], out["observed_at"], raw(p), price)
-        return out
+        codes = _codes(("merchant_sku", number, scope("merchant_sku"), "page_url" if callable(sku) else sku), ("gtin", at(gtin), scope("gtin"), gtin), ("mpn", at(mpn), scope("mpn"), mpn))
+        return out | {
+            "title": at(title), "title_field": F.lit(title), "merchant_sku": F.when(F.length(F.trim(number)) > 0, number), "codes": F.concat(codes, _styles(entries, attributes or "")),
+            "attrs": _attributes(entries, attributes or ""), "nulls": _nulls(node_at(p, f"$.{attributes}")) if attributes else F.lit(None), "condition": _of(entries, "condition"),
+            "price": _price(currency=at(more["currency"]) if "currency" in more else None, kind=at(more["kind"]), hint=at(more["hint"]), terms=terms(p), **{k: f(p) for k, f in price.items()}, field=price_field),
+        }
 
     return extract
 
@@ -127,25 +141,25 @@ def _nested(title: str, fields: dict[str, str], scopes: str | None, sku: Column
 _feed = _nested(
     "item.title", {"record_id": "eventId", "seller": "advertiser.name", "product_type": "semantics.productType", "observed_at": "stock.capturedAt", "source_updated_at": "stock.capturedAt", "url": "trackingUrl", "availability": "stock.status"},
     "semantics.identifierScopes", "item.merchantItemId", "item.identifiers.globalTradeItemNumber", "item.identifiers.manufacturerCode", "item.variant",
-    lambda p: number_at(p, "$.pricing.current"), lambda p: number_at(p, "$.pricing.original"), lambda p: text_at(p, "$.pricing.current"), "pricing.current", lambda p: _terms(node_at(p, "$.pricing.promotion")),
+    {"amount": lambda p: number_at(p, "$.pricing.current"), "list_price": lambda p: number_at(p, "$.pricing.original"), "raw": lambda p: text_at(p, "$.pricing.current")}, "pricing.current", lambda p: _terms(node_at(p, "$.pricing.promotion")),
     {"currency": "pricing.currencyCode", "kind": "semantics.priceKind", "hint": "semantics.comparabilityHint"},
 )
 _retail = _nested(
     "product.name", {"record_id": "observation_id", "seller": "store.display_name", "brand": "product.brand", "product_type": "semantics.product_type", "content_origin": "semantics.content_origin", "observed_at": "observed_at", "source_updated_at": "observed_at", "url": "product_url", "availability": "offer.availabilityCode"},
     "semantics.identifier_scopes", "sku", "product.barcode", "product.model", "product.specifications",
-    lambda p: number_at(p, "$.offer.price.amount"), lambda p: number_at(p, "$.offer.listPrice"), lambda p: text_at(p, "$.offer.price.amount"), "offer.price.amount", lambda p: _terms(node_at(p, "$.offer.terms")),
+    {"amount": lambda p: number_at(p, "$.offer.price.amount"), "list_price": lambda p: number_at(p, "$.offer.listPrice"), "raw": lambda p: text_at(p, "$.offer.price.amount")}, "offer.price.amount", lambda p: _terms(node_at(p, "$.offer.terms")),
     {"currency": "offer.price.currency", "kind": "semantics.price_kind", "hint": "semantics.comparability_hint"},
 )
 _capture = _nested(
     "dom.title", {"record_id": "capture_id", "seller": "merchant", "product_type": "semantic_hints.productType", "content_origin": "content_origin", "observed_at": "observed_at", "source_updated_at": "observed_at", "url": "page_url", "availability": "dom.stockText"},
     "semantic_hints.identifierScopes", lambda p: sku_from_url(text_at(p, "$.page_url")), "partial_identifiers.gtin", "partial_identifiers.mpn", "dom.selectedOptions",
-    lambda p: money.parse_money(text_at(p, "$.dom.priceText")), lambda p: F.lit(None), lambda p: text_at(p, "$.dom.priceText"), "dom.priceText", lambda p: _terms(node_at(p, "$.offer_context")),
+    {"amount_text": lambda p: text_at(p, "$.dom.priceText"), "raw": lambda p: text_at(p, "$.dom.priceText")}, "dom.priceText", lambda p: _terms(node_at(p, "$.offer_context")),
     {"kind": "dom.priceKind", "hint": "semantic_hints.comparability"},
 )
 _report = _nested(
     "title", {"record_id": "report_id", "seller": "merchant", "product_type": "product_type", "content_origin": "content_origin", "observed_at": "posted_at", "source_updated_at": "posted_at", "url": "url", "availability": "availability_claim"},
     None, "merchant_hint_sku", "partial_identifiers.gtin", "partial_identifiers.mpn", None,
-    lambda p: number_at(p, "$.reported_price"), lambda p: number_at(p, "$.usual_price"), lambda p: text_at(p, "$.reported_price"), "reported_price",
+    {"amount": lambda p: number_at(p, "$.reported_price"), "list_price": lambda p: number_at(p, "$.usual_price"), "raw": lambda p: text_at(p, "$.reported_price")}, "reported_price",
     lambda p: _merged(node_at(p, "$.offer_context"), ("requirements", _json_or_text(text_at(p, "$.requirements"))), ("coupon_code", F.when(F.length(F.trim(text_at(p, "$.coupon_code"))) > 0, text_at(p, "$.coupon_code").cast("variant")))),
     {"kind": "price_kind", "hint": "comparability_hint"},
 )
@@ -156,40 +170,35 @@ def _feed_all(p: Column) -> dict[str, Column]:
 
 
 def _report_all(p: Column) -> dict[str, Column]:
-    out = _report(p)
     trust = F.array(F.when(number_at(p, "$.user_confidence").isNotNull(), typed(F.lit("user_confidence"), node_at(p, "$.user_confidence"), F.lit("user_confidence"))))
-    return out | {"attrs": F.concat(out["attrs"], F.filter(trust, lambda x: x.isNotNull()))}
+    return _report(p) | {"attrs": F.filter(trust, lambda x: x.isNotNull())}
 
 
 def _compact(p: Column) -> dict[str, Column]:
     at = lambda path: text_at(p, f"$.{path}")
-    title = clean(first_non_blank(at("product.displayName"), at("product.name")))
     pairs = F.coalesce(F.try_variant_get(p, "$.product.configuration", "array<struct<key:string,value:variant>>"), F.array().cast("array<struct<key:string,value:variant>>"))
     pairs = F.filter(pairs, lambda e: e["key"].isNotNull() & e["value"].isNotNull() & ~F.coalesce(F.is_variant_null(e["value"]), F.lit(True)))
-    codes = F.filter(_entries(node_at(p, "$.product.identity.codes")), lambda e: F.lower(e["key"]) == "gtin")
-    gtins = F.transform(codes, lambda e: identifiers.evidence("gtin", F.try_variant_get(e["value"], "$", "string"), None, "product.identity.codes.gtin"))
-    minor = number_at(p, "$.offer.money.minorAmount")
-    attrs = F.transform(F.filter(pairs, lambda e: e["key"] != "condition"), lambda e: typed(e["key"], e["value"], F.concat(F.lit("product.configuration["), e["key"], F.lit("]"))))
-    ids = _listed(identifiers.evidence("merchant_sku", at("sku"), None, "sku"), identifiers.evidence("mpn", at("product.identity.model"), None, "product.identity.model"), of=identifiers.EVIDENCE)
+    gtins = F.filter(_entries(node_at(p, "$.product.identity.codes")), lambda e: F.lower(e["key"]) == "gtin")
+    gtins = F.transform(gtins, lambda e: F.struct(F.lit("gtin").alias("ns"), F.try_variant_get(e["value"], "$", "string").alias("raw"), F.lit(None).cast("string").alias("scope"), F.lit("product.identity.codes.gtin").alias("field")))
     return {
-        "record_id": at("observation_id"), "seller": at("store.display_name"), "title": title, "brand": at("product.identity.brand"), "condition": _of(pairs, "condition"), "availability": at("offer.availability"),
-        "product_type": at("semantics.productType"), "content_origin": at("semantics.contentOrigin"), "source_updated_at": at("observed_at"), "observed_at": at("observed_at"), "url": at("product_url"), "merchant_sku": at("sku"),
-        "identifiers": F.concat(ids, F.filter(gtins, lambda x: x.isNotNull())), "attrs": F.concat(attrs, titles.title_attributes(title, F.lit("product.displayName"))),
-        "money": money.evidence(minor / 100, number_at(p, "$.offer.compareAtMinorAmount") / 100, at("offer.money.currency"), at("semantics.priceKind"), F.lit(None), _terms(node_at(p, "$.offer.context")), at("offer.availability"), at("observed_at"), at("offer.money.minorAmount"), "offer.money.minorAmount"),
+        "record_id": at("observation_id"), "seller": at("store.display_name"), "title": first_non_blank(at("product.displayName"), at("product.name")), "title_field": F.lit("product.displayName"), "brand": at("product.identity.brand"),
+        "condition": _of(pairs, "condition"), "availability": at("offer.availability"), "product_type": at("semantics.productType"), "content_origin": at("semantics.contentOrigin"), "source_updated_at": at("observed_at"), "observed_at": at("observed_at"),
+        "url": at("product_url"), "merchant_sku": at("sku"), "codes": F.concat(_codes(("merchant_sku", at("sku"), None, "sku"), ("mpn", at("product.identity.model"), None, "product.identity.model")), gtins.cast(RAW["codes"])),
+        "attrs": F.transform(F.filter(pairs, lambda e: e["key"] != "condition"), lambda e: typed(e["key"], e["value"], F.concat(F.lit("product.configuration["), e["key"], F.lit("]")))),
+        "price": _price(amount=number_at(p, "$.offer.money.minorAmount") / 100, list_price=number_at(p, "$.offer.compareAtMinorAmount") / 100, currency=at("offer.money.currency"), kind=at("semantics.priceKind"), terms=_terms(node_at(p, "$.offer.context")), raw=at("offer.money.minorAmount"), field="offer.money.minorAmount"),
     }
 
 
 def _browser(p: Column) -> dict[str, Column]:
     at = lambda path: text_at(p, f"$.{path}")
-    title, url = clean(first_non_blank(at("title"), at("page_title"))), first_non_blank(at("url"), at("page_url"))
+    url = first_non_blank(at("url"), at("page_url"))
     is_object = lambda k: F.when(F.schema_of_variant(node_at(p, f"$.{k}")).startswith("OBJECT"), node_at(p, f"$.{k}"))
     meta = _entries(F.coalesce(is_object("metadata"), is_object("attributes")))
     price = first_non_blank(at("price"), at("observed_price"))
-    ids = _listed(identifiers.evidence("merchant_sku", sku_from_url(url), None, "url"), identifiers.evidence("mpn", _of(meta, "model"), None, "metadata.model"), identifiers.evidence("gtin", at("identifiers.gtin"), None, "identifiers.gtin"), identifiers.evidence("mpn", at("identifiers.mpn"), None, "identifiers.mpn"), of=identifiers.EVIDENCE)
     return {
-        "record_id": F.lit("resolve-request"), "title": title, "url": url, "brand": _of(meta, "brand"), "condition": _of(meta, "condition"), "merchant_sku": sku_from_url(url), "identifiers": ids,
-        "attrs": F.concat(_attributes(meta, "metadata", ("brand", "model", "condition")), titles.title_attributes(title, F.lit("title"))),
-        "money": money.evidence(money.parse_money(price), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(None), price, "price"),
+        "record_id": F.lit("resolve-request"), "title": first_non_blank(at("title"), at("page_title")), "title_field": F.lit("title"), "url": url, "brand": _of(meta, "brand"), "condition": _of(meta, "condition"), "merchant_sku": sku_from_url(url),
+        "codes": _codes(("merchant_sku", sku_from_url(url), None, "url"), ("mpn", _of(meta, "model"), None, "metadata.model"), ("gtin", at("identifiers.gtin"), None, "identifiers.gtin"), ("mpn", at("identifiers.mpn"), None, "identifiers.mpn")),
+        "attrs": _attributes(meta, "metadata", ("brand", "model", "condition")), "price": _price(amount_text=price, raw=price, field="price"),
     }
 
 
@@ -226,14 +235,21 @@ def select(source: Column, payload: Column, adapters: list[Adapter]) -> Column:
 def extract(events: DataFrame, adapters: list[Adapter] | None = None) -> DataFrame:
     """Adds ``adapter`` and ``x``, the extraction: all rows keep their place, also those that no adapter supports."""
     adapters = registry() if adapters is None else adapters
-    p = F.col("__p")
+    p, r = F.col("__p"), lambda k: F.col(f"__r.{k}")
     out = events.withColumn("__p", F.try_parse_json("payload")).withColumn("adapter", select(F.col("source"), p, adapters))
-    x = F.lit(None).cast(EXTRACTION)
+    raw = F.lit(None).cast("struct<" + ",".join(f"{k}:{t}" for k, t in RAW.items()) + ">")
     for a in adapters:
         got = a.extract(p)
-        own = F.struct(*(got.get(k, F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()))
-        x = F.when(F.col("adapter") == f"{a.name}:{a.version}", own).otherwise(x)
-    out = out.withColumn("x", x)
-    defaults = {"condition": F.coalesce(F.col("x.condition"), F.lit("new")), "product_type": F.coalesce(F.col("x.product_type"), F.lit("primary_product"))}
-    filled = F.struct(*(defaults.get(k, F.col(f"x.{k}")).alias(k) for k in FIELDS))
-    return out.withColumn("x", F.when(F.col("x").isNotNull(), filled)).drop("__p")
+        own = F.struct(*(got.get(k, F.lit(None)).cast(t).alias(k) for k, t in RAW.items()))
+        raw = F.when(F.col("adapter") == f"{a.name}:{a.version}", own).otherwise(raw)
+    out = out.withColumn("__r", raw).withColumn("__title", clean(r("title")))
+    codes = F.transform(F.filter(r("codes"), lambda c: F.length(F.trim(c["raw"])) > 0), identifiers.from_code)
+    empty = F.array().cast(ATTRIBUTES)
+    amount = F.coalesce(r("price.amount"), money.parse_money(r("price.amount_text")))
+    price = money.evidence(amount, F.coalesce(r("price.list_price"), money.parse_money(r("price.list_text"))), r("price.currency"), r("price.kind"), r("price.hint"), r("price.terms"), r("availability"), r("observed_at"), r("price.raw"), r("price.field"))
+    made = {
+        "title": F.col("__title"), "condition": F.coalesce(r("condition"), F.lit("new")), "product_type": F.coalesce(r("product_type"), F.lit("primary_product")), "identifiers": codes,
+        "attrs": F.concat(F.coalesce(r("attrs"), empty), titles.title_attributes(F.col("__title"), r("title_field"), cleaned=True)), "money": price,
+    }
+    x = F.struct(*(made.get(k, r(k) if k in RAW else F.lit(None)).cast(t).alias(k) for k, t in FIELDS.items()))
+    return out.withColumn("x", F.when(F.col("adapter").isNotNull(), x)).drop("__p", "__r", "__title")

@@ -80,7 +80,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON documents, a document a file."""
-    return unwrap(spark.read.option("wholetext", True).text(path))
+    return unwrap(spark.read.text(path, wholetext=True))
 
 
 def effective_mode(operation: Column, update_mode: Column) -> Column:

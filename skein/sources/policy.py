@@ -49,7 +49,7 @@ def built_in() -> dict[str, Policy]:
 
 def load(spark: SparkSession, path: str) -> dict[str, Policy]:
     """From a JSON document with ``categories``; read through Spark, so from any store. A policy is small by nature."""
-    doc = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    doc = json.loads(spark.read.text(path, wholetext=True).first()[0])
     return with_default({c: Policy(*(v.get(f"{k}_dimensions", []) for k in ("product", "variant", "price_critical"))) for c, v in doc["categories"].items()})
 
 
@@ -74,32 +74,50 @@ def canonical_keys(policies: dict[str, Policy]) -> list[str]:
     return list(dict.fromkeys([*named, "size"]))
 
 
+# Rules in their order: any of these attributes, or all of those; or any of these words in the title;
+# unless this word is there; the category. A rule marked with "and" needs attributes and words.
+RULES = [
+    ("capacity_gb", "interface form_factor", "", "", "storage_devices"),
+    ("case_size_mm case_material", "", "smartwatch", "", "smartwatches"),
+    ("formulation volume_ml", "", "", "", "beauty_and_fragrance"),
+    ("size_us", "", "running shoe|road shoe", "", "footwear"),
+    ("and edition", "", "console|novaplay", "", "game_consoles"),
+    ("ram_gb", "", "laptop|airbook|air book", "", "laptops"),
+    ("carrier", "", "phone", "headphone", "phones"),
+    ("", "", "headphone|earbud|airbud|buds", "", "headphones"),
+    ("", "", "console|novaplay", "", "game_consoles"),
+    ("", "", "television| tv|qled", "", "tvs"),
+    ("", "", "vacuum", "", "vacuums"),
+    ("", "", "blender", "", "small_appliances"),
+    ("", "", "tee|jacket|crew|shirt", "", "apparel"),
+    ("", "", "serum|parfum|fragrance|toilette", "", "beauty_and_fragrance"),
+    ("", "", "ssd|solid state|nvme|internal drive", "", "storage_devices"),
+    ("", "", "watch", "", "smartwatches"),
+]
+
+
 def infer_category(keys: Column, title: Column) -> Column:
     """From the attributes that are there, then from words in the title; the first rule that holds."""
     t = F.lower(F.coalesce(title, F.lit("")))
-    has = lambda *k: F.arrays_overlap(keys, F.array(*map(F.lit, k)))
-    says = lambda *w: t.rlike("|".join(w))
-    both = has("interface") & has("form_factor")
-    # The rules' attributes and words, in their order.
-    rules = [
-        (has("capacity_gb") | both, "storage_devices"),
-        (has("case_size_mm", "case_material") | says("smartwatch"), "smartwatches"),
-        (has("formulation", "volume_ml"), "beauty_and_fragrance"),
-        (has("size_us") | says("running shoe", "road shoe"), "footwear"),
-        (has("edition") & says("console", "novaplay"), "game_consoles"),
-        (has("ram_gb") | says("laptop", "airbook", "air book"), "laptops"),
-        ((has("carrier") | says("phone")) & ~says("headphone"), "phones"),
-        (says("headphone", "earbud", "airbud", "buds"), "headphones"),
-        (says("console", "novaplay"), "game_consoles"),
-        (says("television", " tv", "qled"), "tvs"),
-        (says("vacuum"), "vacuums"),
-        (says("blender"), "small_appliances"),
-        (says("tee", "jacket", "crew", "shirt"), "apparel"),
-        (says("serum", "parfum", "fragrance", "toilette"), "beauty_and_fragrance"),
-        (says("ssd", "solid state", "nvme", "internal drive"), "storage_devices"),
-        (says("watch"), "smartwatches"),
-    ]
     out = F.lit("unknown")
-    for holds, name in reversed(rules):
-        out = F.when(holds, name).otherwise(out)
+    for some, every, words, without, name in reversed(RULES):
+        strict, some = some.startswith("and "), some.removeprefix("and ").split()
+        attrs = F.arrays_overlap(keys, F.array(*map(F.lit, some))) if some else F.lit(False)
+        for group in filter(None, [every.split()]):
+            attrs = attrs | (F.size(F.array_intersect(keys, F.array(*map(F.lit, group)))) == len(group))
+        says = t.rlike(words) if words else F.lit(False)
+        holds = (attrs & says) if strict else (attrs | says)
+        out = F.when(holds & ~t.contains(without) if without else holds, name).otherwise(out)
     return out
+
+
+def inferred(keys: set[str], title: str | None) -> str:
+    """The same rules for one listing of the ordered fold."""
+    t = (title or "").lower()
+    for some, every, words, without, name in RULES:
+        strict, some = some.startswith("and "), set(some.removeprefix("and ").split())
+        attrs = bool(some & keys) or (bool(every) and set(every.split()) <= keys)
+        says = bool(words) and any(w in t for w in words.split("|"))
+        if ((attrs and says) if strict else (attrs or says)) and not (without and without in t):
+            return name
+    return "unknown"
