@@ -74,7 +74,7 @@ def classify(deliveries: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("event_key").orderBy("seq")
     out = deliveries.withColumn("__first", F.first("payload_hash").over(by_key)).withColumn("__nth", F.row_number().over(by_key))
     once = (F.col("__nth") == 1) & (F.length(F.trim("idempotency_key")) > 0)
-    scope = F.when(once, F.concat_ws("|", "idempotency_key", F.coalesce("record_id", "payload_hash"))).otherwise(F.concat_ws("#", F.lit("none"), "event_key", "seq"))
+    scope = F.when(once, F.concat_ws("|", "idempotency_key", F.coalesce("record_id", "payload_hash"))).otherwise(F.concat_ws("#", F.lit("none"), "event_key", F.xxhash64("seq").cast("string")))
     again = Window.partitionBy(scope).orderBy("seq")
     repeat = once & F.lag("payload_hash").over(again).eqNullSafe(F.col("payload_hash"))
     status = F.when((F.col("__nth") > 1) & (F.col("payload_hash") != F.col("__first")), "conflict").when((F.col("__nth") > 1) | repeat, "duplicate").otherwise("new")
