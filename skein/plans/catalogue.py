@@ -422,15 +422,41 @@ def catalog_stats(spark, d):
     return count("part", "parts").unionAll(count("supplier", "suppliers")).unionAll(count("lineitem", "observations")).unionAll(count("events", "events"))
 
 
-@query()
-def commit_catalog(spark, d):
-    """Parts as a supplier's feed through the whole engine: log, adapters, components, fold. Decisions by listing."""
+def committed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Parts as a supplier's feed through the whole engine: log, adapters, components, fold."""
     from skein.operators import commit
 
     p = t(spark, d, "part").where("p_size between 10 and 12").withColumn("title", F.expr(TITLE_SPARK))
     payload = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("record_id"), F.col("title").alias("product_name"), F.lit("Shop").alias("merchant"), F.concat(F.lit("S"), "p_partkey").alias("merchant_sku"), F.col("p_retailprice").cast("string").alias("sale_price"), F.lit("2024-01-01T00:00:00Z").alias("last_updated")))
     rows = E.from_records(p.select(payload.alias("record"), "p_partkey"), "affiliate_a", "b1").withColumn("seq", F.get_json_object("payload", "$.record_id").cast("long"))
-    return commit.tables(commit.catalog(rows)["entities"])["decision"].select("source_record_id", "decision", "universal_product_id", "variant_id", "candidate_count")
+    return commit.tables(commit.catalog(rows)["entities"])
+
+
+@query()
+def commit_catalog(spark, d):
+    """Decisions by listing. They depend on the order of events, which SQL does not express."""
+    return committed(spark, d)["decision"].select("source_record_id", "decision", "universal_product_id", "variant_id", "candidate_count")
+
+
+CHECKS = """
+listing_ids raw_kept attributes_have_provenance category_set unknown_attributes_kept variants_have_products offers_have_variants offer_price_kind offer_comparability offer_seller_condition
+offer_sources offers_have_observations observation_event_key conditional_has_terms_or_hint installments_do_not_compare one_decision_a_listing decision_kind candidate_count scored_are_candidates
+match_has_signals review_has_no_variant ambiguity_has_hypotheses audit_complete variant_safety
+""".split()
+
+
+@query(" union all ".join(f"select '{c}' as \"check\", 0 as violations" for c in CHECKS))
+def conformance_checks(spark, d):
+    return checks.conformance(committed(spark, d))
+
+
+@query("select concat('affiliate_a', '') as source, count(*) as listings, count(*) as observations from part where p_size between 10 and 12")
+def commit_coverage(spark, d):
+    """Every record has a listing, a decision and an observation."""
+    made = committed(spark, d)
+    seen = made["observation"].groupBy("listing").agg(F.count("*").alias("n"))
+    met = made["listing"].join(made["decision"].select("listing_id"), "listing_id").join(seen, F.col("listing_id") == F.col("listing"))
+    return met.groupBy("source").agg(F.count("*").alias("listings"), F.sum("n").alias("observations"))
 
 
 def queries() -> dict:

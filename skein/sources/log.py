@@ -114,16 +114,18 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
 def append(events: DataFrame, path: str, adapters: list[Adapter] | None = None) -> int:
     """Appends deliveries that the log does not have yet, numbered after its last; returns how many.
 
-    ``events`` keeps its order by ``ord`` if it has that column. Sorting ranks in one range-partitioned pass: numbers are
-    partition offsets plus the place within.
+    Numbers follow the column ``ord`` if events has it, else the rows' order. They come from one range-partitioned sort:
+    a partition's offset plus the place within.
     """
     spark = events.sparkSession
     log = read(spark, path)
-    fresh = keyed(events, adapters).dropDuplicates(["event_key", "payload_hash"])
+    ordered = events if "ord" in events.columns else events.withColumn("ord", F.monotonically_increasing_id())
+    first = Window.partitionBy("event_key", "payload_hash").orderBy("ord")
+    fresh = keyed(ordered, adapters).withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
     if log is not None:
         fresh = fresh.join(log.select("event_key", "payload_hash"), ["event_key", "payload_hash"], "left_anti")
     last = (log.agg(F.max("seq")).first()[0] if log is not None else None) or 0
-    order = [c for c in ("ord",) if c in events.columns] + ["event_key", "payload_hash"]
+    order = ["ord", "event_key", "payload_hash"]
     fresh = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id() + F.lit(last + 1))
     fresh.select(LOG).write.mode("append").parquet(path)
     return spark.read.parquet(path).where(F.col("seq") > last).count()

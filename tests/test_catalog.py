@@ -125,6 +125,14 @@ def test_engine_replay_and_resolve(spark, tmp_path):
     assert engine.health()["events"] == 2
 
 
+def test_arrival_order_is_kept(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "log"))
+    events = [event("r", event_id=f"x{9 - i}", price=float(i), when="2024-01-01T00:00:00Z") for i in range(9)]
+    engine.ingest(frame(spark, events).coalesce(1).select(E.COLUMNS))
+    (o,) = engine.tables()["offer"].collect()
+    assert o.price == 8.0  # equal clocks: the later arrival
+
+
 def test_stream_restarts_without_repeats(spark, tmp_path):
     source, log_path = tmp_path / "in", str(tmp_path / "log")
     source.mkdir()
