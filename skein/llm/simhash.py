@@ -77,24 +77,21 @@ def fingerprints(docs: DataFrame, keep: list[str], words: int = 4, seed: int = 4
 
 
 class Criterion(NamedTuple):
-    """Two nodes are linked if their fingerprints differ in at most ``radius`` bits, and their codes in at most ``code``."""
+    """Members of a bucket are linked if their fingerprints, or their codes where they have these, differ in at most so many bits."""
 
-    radius: int
-    code: int = 0
+    bits: int
 
-    def near(self, fps: np.ndarray, codes: np.ndarray | None, lo: int, hi: int) -> np.ndarray:
+    def near(self, fps: np.ndarray | None, codes: np.ndarray | None, lo: int, hi: int) -> np.ndarray:
         """Rows lo to hi against the rows from lo on."""
-        close = np.bitwise_count(fps[lo:hi, None] ^ fps[None, lo:]) <= self.radius
-        if codes is not None:
-            i, j = np.nonzero(close)
-            close[i, j] = np.bitwise_count(codes[lo + i] ^ codes[lo + j]).sum(1, dtype=np.int64) <= self.code
-        return close
+        if codes is None:
+            return np.bitwise_count(fps[lo:hi, None] ^ fps[None, lo:]) <= self.bits
+        return np.bitwise_count(codes[lo:hi, None] ^ codes[None, lo:]).sum(2, dtype=np.int32) <= self.bits
 
 
-def _forest(fps: np.ndarray, codes: np.ndarray | None, criterion: Criterion) -> np.ndarray:
+def _forest(fps: np.ndarray | None, codes: np.ndarray | None, criterion: Criterion) -> np.ndarray:
     """Least member of each one's component in a bucket. Blocks of rows bound the memory."""
-    n = len(fps)
-    label = np.arange(n)
+    n = len(fps if codes is None else codes)
+    label, step = np.arange(n), 256 if codes is None else 256 // codes.shape[1]
 
     def root(i: int) -> int:
         while label[i] != i:
@@ -102,8 +99,8 @@ def _forest(fps: np.ndarray, codes: np.ndarray | None, criterion: Criterion) ->
             i = label[i]
         return i
 
-    for lo in range(0, n, 256):
-        for k, row in enumerate(criterion.near(fps, codes, lo, min(n, lo + 256))):
+    for lo in range(0, n, step):
+        for k, row in enumerate(criterion.near(fps, codes, lo, min(n, lo + step))):
             js = np.flatnonzero(row[k + 1 :]) + lo + k + 1
             for j in js[np.unique(label[js], return_index=True)[1]] if len(js) > 1 else js:  # one of each present label
                 a, b = root(lo + k), root(int(j))
@@ -122,7 +119,7 @@ def _linked(criterion: Criterion):
                 ids = ids.values.to_numpy(zero_copy_only=False)
                 order = np.argsort(ids, kind="stable")
                 own = None if codes.values is None else np.frombuffer(b"".join(codes.as_py()), "<u8").reshape(len(ids), -1)[order]
-                label = _forest(fps.values.to_numpy(zero_copy_only=False)[order], own, criterion)
+                label = _forest(fps.values.to_numpy(zero_copy_only=False)[order] if own is None else None, own, criterion)
                 moved = label != np.arange(len(ids))
                 u.append(ids[order][moved])
                 v.append(ids[order][label[moved]])
@@ -203,7 +200,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     repeats. Nulls, repeats and other columns are as for near_duplicates.
     """
     names = [f"fp{i}" for i in range(len(seeds))]
-    limit = Criterion(radius, code_bits(similarity, 64 * code_words))
+    limit = Criterion(code_bits(similarity, 64 * code_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,28 +214,28 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     schema = texts.select("doc_id", "text_hash", *(F.lit(0).cast("long").alias(n) for n in names), F.lit(b"").alias("code")).schema
     seen = stored(texts.mapInArrow(run, schema), "simhash-codes")
-    nodes = seen.groupBy(*names, "code").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    row = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")  # a row with an id goes before one without
+    nodes = seen.groupBy(*names, "code").agg(F.min("doc_id").alias("rep"), F.min(row).alias("first"))
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
-    dealt = None
-    for k, name in enumerate(names):
-        one = nodes.select("id", F.col(name).alias("fp"), "code", F.explode(bucket_keys(F.col(name), radius)).alias("b")).select("id", "fp", "code", F.lit(k).alias("k"), "b.t", "b.key")
-        dealt = one if dealt is None else dealt.unionAll(one)
-    by = ["k", "t", "key"]
-    counts = stored(dealt.select(*by).groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
-    packed = lambda df, key: df.groupBy(*key).agg(F.collect_list(F.struct("id", "fp", "code")).alias("x")).select(F.col("x.id").alias("ids"), F.col("x.fp").alias("fps"), F.col("x.code").alias("codes"))
-    few = packed(dealt.join(counts.where(f"n <= {bucket}").select(*by), by), by)
-    hot = dealt.join(counts.where(f"n > {bucket}").select(*by), by).select("k", "id", "fp", "code").dropDuplicates(["k", "id"])
+    # only hashes of the keys are dealt: two keys with one hash make more candidates, which the codes refuse
+    own_tables = lambda k: lambda b: F.xxhash64(F.lit(k), b["t"], b["key"])
+    keys = F.concat(*(F.transform(bucket_keys(F.col(name), radius), own_tables(k)) for k, name in enumerate(names)))
+    dealt = nodes.select("id", F.explode(keys).alias("h"))
+    counts = stored(dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+    own = nodes.select("id", *names, "code")
+    packed = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct("id", "code")).alias("x")).select(F.col("x.id").alias("ids"), F.lit(None).cast("array<bigint>").alias("fps"), F.col("x.code").alias("codes"))
+    few = packed(dealt.join(counts.where(f"n <= {bucket}").select("h"), "h").join(own, "id").select("h", "id", "code"), "h")
+    hot = dealt.join(counts.where(f"n > {bucket}").select("h"), "h").select("id").distinct().join(own, "id")
     near = None
-    for k in range(len(names)):
-        own = hot.where(F.col("k") == k)
-        points = _midpoints(own, radius).join(own.select("id", "fp", "code"), "id")
-        near = packed(points, ["point"]) if near is None else near.unionAll(packed(points, ["point"]))
+    for name in names:
+        points = packed(_midpoints(hot.select("id", F.col(name).alias("fp")), radius).join(hot.select("id", "code"), "id"), "point")
+        near = points if near is None else near.unionAll(points)
     edges = few.unionAll(near.where(F.size("ids") > 1)).mapInArrow(_linked(limit), "u long, v long")
     cc = connected_components(edges)
     of = nodes.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     least = of.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("first").alias("kept_row"))
     met = seen.join(of.join(least, "label").select(*names, "code", "component_id", "kept_row"), [*names, "code"])
-    return met.select("doc_id", "text_hash", "component_id", (F.struct("doc_id", "text_hash") == F.col("kept_row")).alias("kept"))
+    return met.select("doc_id", "text_hash", "component_id", (row == F.col("kept_row")).alias("kept"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
