@@ -106,7 +106,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_: str = "vec_id"
     """``query_id, rank, id, score`` of the k nearest rows, by cosine, of each row for which ``is_query`` holds.
 
     A query's own id is no candidate of it; ties go to the smaller id. Vectors that are null, empty, zero or hold a null
-    or non-finite component take no part, and vectors of another dimension than the query's are not its candidates. With
+    or non-finite component, and rows without an id, take no part, and vectors of another dimension than the query's are not its candidates. With
     fewer candidates than k all are returned. Rows repeated with one id count as one candidate, and as one query. An
     empty table gives an empty result. Other columns are not read.
     """

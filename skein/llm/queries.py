@@ -18,5 +18,16 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_packing, op3_mixing, op4_quality, op5_language, op6_secrets, op7_sharding, op8_suffix_dedup, op9_ann, op10_embed_dedup)}
 
 
+#: Without floating-point results; the links' cosines are SQL's own.
+OP10 = """with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id as node, vec_id as reach from embeddings union select r.node, p.b from r join p on r.reach = p.a),
+c as (select node, min(reach) as component_id from r group by 1), n as (select a, count(*) as n from p group by 1)
+select vec_id, coalesce(n.n, 0) as n_links, c.component_id, vec_id = c.component_id as kept from embeddings join c on c.node = vec_id left join n on n.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the ten, SQL expresses operator 10's result within reason; the others have models, tokenizers, hashes or floats of their own."""
+    return {"op10_embed_dedup": OP10}
