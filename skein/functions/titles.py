@@ -33,7 +33,7 @@ def _number(text: Column, pattern: str) -> Column:
 def colour(low: Column) -> Column:
     """The longest colour named; of equal lengths the one named first, then by alphabet."""
     at = lambda c: F.regexp_instr(low, F.lit(rf"\b{c}\b"))
-    found = F.filter(F.array(*(F.when(at(c) > 0, F.struct(F.lit(-len(c)).alias("n"), at(c).alias("at"), F.lit(c).alias("c"))) for c in COLOURS)), lambda x: x.isNotNull())
+    found = F.filter(F.array(*(F.when(low.contains(c) & (at(c) > 0), F.struct(F.lit(-len(c)).alias("n"), at(c).alias("at"), F.lit(c).alias("c"))) for c in COLOURS)), lambda x: x.isNotNull())
     return F.when(low.contains("black/white") | low.contains("black white"), "black/white").otherwise(F.array_min(found)["c"])
 
 

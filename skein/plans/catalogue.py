@@ -94,7 +94,8 @@ select p_partkey, 'color' as key, regexp_extract(low, '\\b(midnight|natural|silv
 union all select p_partkey, 'size', case when regexp_matches(low, '\\bmedium\\b') then 'M' when regexp_matches(low, '\\blarge\\b') then 'L' else 'S' end from p where regexp_matches(low, '\\b(medium|large|small)\\b')
 union all select p_partkey, 'case_size_mm', cast(p_size as varchar) from p where p_size between 10 and 99""")
 def title_attrs_eav(spark, d):
-    rows = titled(spark, d).select("p_partkey", F.explode(titles.title_attributes(F.col("title"), F.lit("title"))).alias("a"))
+    rows = titled(spark, d).withColumn("title", T.clean(F.col("title")))  # once, not once for each attribute
+    rows = rows.select("p_partkey", F.explode(titles.title_attributes(F.col("title"), F.lit("title"), cleaned=True)).alias("a"))
     return rows.select("p_partkey", "a.key", "a.value")
 
 
