@@ -233,8 +233,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     (1 - s ** rows) ** tables, whatever its length and however its edits lie: 1 in 14,000 at 0.8, fewer above. Every
     candidate is decided by the exact similarity of the sets of its whole texts; shingles are compared by 64-bit hashes.
 
-    Texts with one set are one node. In each bucket all nodes are first checked against one of them, ``stars`` times, so
-    copies of one text come together at a row each; then all pairs of a bucket that are not yet together are checked.
+    Texts with one set are one node. In each bucket all nodes are first checked against the one that meets most others,
+    ``stars`` times, so copies of one text come together at a row each; then all pairs of a bucket that are not yet together are checked.
     component_id is the smallest doc_id reachable; kept marks the component's first row by doc_id and text_hash, and its
     repeats. Nulls, repeats and other columns are as for near_duplicates.
     """
@@ -255,15 +255,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     dealt = nodes.select("id", "size", F.explode("keys").alias("h"))
     counts = dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     met = stored(dealt.join(counts, "h"), "minhash-buckets")
+    degrees = met.join(met.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(F.sum("n").alias("degree"))
+    met = stored(met.join(degrees, "id"), "minhash-degrees")
     asked = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("first.text_hash").alias("text_hash"))
     asked = stored(texts.select("text_hash", "text").join(asked, "text_hash").dropDuplicates(["id"]).select("id", "text"), "minhash-texts")
     together = lambda cc: met if cc is None else met.join(cc.withColumnRenamed("node", "id"), "id", "left")
     fits = F.least("size", "other_size") * F.lit(bound.denominator) >= F.greatest("size", "other_size") * F.lit(bound.numerator)
     tested, cc = None, None
     for k in range(stars + 1):
-        now = together(cc).select("h", "id", "size", (F.lit(None).cast("long") if cc is None else F.col("component")).alias("component"))
+        now = together(cc).select("h", "id", "size", "degree", (F.lit(None).cast("long") if cc is None else F.col("component")).alias("component"))
         now = now.withColumn("label", F.coalesce("component", "id"))
-        live = now.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct(F.xxhash64(F.lit(k), "id"), "id", "size", "label")).alias("hub")).where("a != b")
+        live = now.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.struct(F.isnull("component").alias("alone"), "degree", "id", "size", "label")).alias("hub")).where("a != b")
         if k < stars:
             pairs = now.join(live.select("h", F.col("hub.id").alias("other"), F.col("hub.size").alias("other_size"), F.col("hub.label").alias("other_label")), "h")
         else:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from skein.llm import simhash
 
 VOCABULARY = ["".join(random.Random(i).choices("abcdefghijklmnop", k=2 + i % 6)) + str(i) for i in range(3000)]
@@ -33,6 +35,13 @@ def test_extended_copies_are_found(spark):
     assert len(close) > 140 and all(got[i] == got[i + 1] for i in close)
 
 
+@pytest.mark.parametrize("words", [9, 10, 11])
+def test_a_repeated_line_links_nothing(spark, words):
+    line = zipf(words, 7)
+    texts = [random.Random(i).choices(VOCABULARY, k=100) + line * 20 for i in range(24)]
+    assert components(spark, texts) == {i: i for i in range(len(texts))}
+
+
 def test_similar_documents_equal_brute_force(spark):
     rng, texts = random.Random(3), []
     for i in range(12):
