@@ -8,7 +8,9 @@ further windows one after another, being cut where a window ends, so only the la
 
 Only the histogram, of a size fixed by the window, reaches the driver. A row's place follows from its rank among bodies
 of its length and from running sums; both are taken in salted groups plus the groups' totals, so no length, however
-common, is ranked in one task. Token ids are made once and stored; they are shuffled once, to meet their places.
+common, is ranked in one task. Where docs have an order, consecutive ranges of ``span`` documents are packed each by
+itself, to the whole histogram's counts in proportion, and sequences are numbered by range; only leftovers run on into
+the next range. Ranges then give the driver one histogram each. Token ids are made once and stored; they are shuffled once, to meet their places.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from skein.llm.common import salt, stored
 from skein.llm.tokens import word_ids
 
 WINDOW, QUANTUM, DEPTH, END = 2048, 32, 4, 1
+#: Documents of a range that is packed by itself where an order is given: one period of the mixture.
+SPAN = 16384
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -80,7 +84,13 @@ def plan(hist: np.ndarray, depth: int = DEPTH) -> tuple[list[tuple[int, ...]], n
     for j, c in enumerate(combos):
         np.add.at(a[:, j], np.array(c) - 1, 1)
     scale = max(1.0, float(hist.max(initial=0)))
-    x = np.floor(nnls(a, hist / scale) * scale + 1e-6).astype(np.int64)
+    x = fitted(a, np.floor(nnls(a, hist / scale) * scale + 1e-6).astype(np.int64), hist)
+    on = np.flatnonzero(x > 0)
+    return [combos[j] for j in on], x[on]
+
+
+def fitted(a: np.ndarray, x: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """Repeat counts x, cut where they use more than the histogram."""
     for k in range(len(hist)):  # least squares may ask for more bodies of a length than there are
         over = int(a[k] @ x - hist[k])
         for j in np.flatnonzero((a[k] > 0) & (x > 0)):
@@ -89,8 +99,19 @@ def plan(hist: np.ndarray, depth: int = DEPTH) -> tuple[list[tuple[int, ...]], n
             less = min(int(x[j]), -(-over // int(a[k, j])))
             x[j] -= less
             over -= less * int(a[k, j])
-    on = np.flatnonzero(x > 0)
-    return [combos[j] for j in on], x[on]
+    return x
+
+
+def plans(hists: np.ndarray, depth: int = DEPTH) -> tuple[list[tuple[int, ...]], list[np.ndarray]]:
+    """``hists[g, k]``: bodies of k + 1 quanta of range g. The combinations, and their repeats in each range."""
+    total = hists.sum(0)
+    combos, x = plan(total, depth)
+    if len(hists) == 1:
+        return combos, [x]
+    a = np.zeros((len(total), len(combos)))
+    for j, c in enumerate(combos):
+        np.add.at(a[:, j], np.array(c) - 1, 1)
+    return combos, [fitted(a, np.floor(x * (h.sum() / max(1, total.sum()))).astype(np.int64), h) for h in hists]
 
 
 class Places:
@@ -138,34 +159,50 @@ def _before(df: DataFrame, of: str, by: list[str], name: str) -> DataFrame:
     return df.join(sums, [*by, "salt"]).withColumn(name, F.coalesce(inner, F.lit(0)) + F.col("__base")).drop("__base")
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, quantum: int = QUANTUM, depth: int = DEPTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, quantum: int = QUANTUM, depth: int = DEPTH, end: int = END, order: str | None = None, span: int = SPAN) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens, sequence_id, offset``.
 
     Every document's ids, then the end id, lie in exactly one piece each; pieces of a sequence are gapless from offset 0.
     All sequences but at most one are full. A null or empty text is the end id alone. Repeated rows, also of one doc_id,
     are packed each. An empty table gives no piece. Other columns of docs are not read.
+    ``order`` names a column that numbers the rows, without gaps or repeats from 0: sequences then follow it range by range.
     """
     if window % quantum:
         raise ValueError("quantum must divide window")
     spark, units = docs.sparkSession, window // quantum
-    ids = stored(tokenized(docs, tokenizer, end, ["doc_id"]).withColumn("row_id", F.monotonically_increasing_id()), "packing-ids")
-    meta = ids.select("row_id", "n").withColumns({"full": F.expr(f"n div {window}"), "rest": F.expr(f"n % {window}")})
-    meta = meta.withColumns({"k": F.expr(f"cast(rest div {quantum} as int)"), "one": F.lit(1).cast("long"), "salt": salt(spark, F.col("row_id"))})
-    hist = np.zeros(units - 1, np.int64)
-    for k, n in meta.where("k > 0").groupBy("k").count().collect():  # at most units - 1 rows
-        hist[k - 1] = n
-    places = Places(units, quantum, *plan(hist, depth))
-    used = F.element_at(F.array(*(F.lit(u).cast("long") for u in places.used)), F.col("k") + 1)
-    meta = stored(_before(_before(meta, "one", ["k"], "rank"), "full", [], "full_before"), "packing-ranks")
-    meta = meta.withColumn("placed", F.col("rank") < used).withColumn("loose", F.when(F.col("placed"), F.expr(f"rest % {quantum}")).otherwise(F.col("rest")))
-    loose = meta.agg(F.sum("loose")).first()[0] or 0
-    meta = _before(meta, "loose", [], "loose_before").select("row_id", "full", "k", "rank", "placed", "loose", "full_before", "loose_before")
-    first_full = places.windows + -(-loose // window)
+    if order:
+        ids = tokenized(docs.withColumn("row_id", F.col(order).cast("long")), tokenizer, end, ["doc_id", "row_id"])
+    else:
+        ids = tokenized(docs, tokenizer, end, ["doc_id"]).withColumn("row_id", F.monotonically_increasing_id())
+    ids = stored(ids, "packing-ids")
+    of = F.expr(f"cast(row_id div {span} as int)") if order else F.lit(0)
+    meta = ids.select("row_id", "n", of.alias("span")).withColumns({"full": F.expr(f"n div {window}"), "rest": F.expr(f"n % {window}")})
+    meta = meta.withColumns({"k": F.expr(f"cast(rest div {quantum} as int)"), "one": F.lit(1).cast("long"), "salt": F.col("span") if order else salt(spark, F.col("row_id"))})
+    counted = meta.groupBy("span", "k").count().collect()  # at most units rows a range
+    hists = np.zeros((max([r["span"] for r in counted], default=0) + 1, units - 1), np.int64)
+    for g, k, n in counted:
+        if k:
+            hists[g, k - 1] = n
+    combos, repeats = plans(hists, depth)
+    places = [Places(units, quantum, combos, x) for x in repeats]
+    used = spark.createDataFrame([(g, k, u) for g, p in enumerate(places) for k, u in enumerate(p.used) if u], "span int, k int, used long")
+    meta = stored(_before(_before(meta, "one", ["span", "k"], "rank"), "full", [], "full_before"), "packing-ranks")
+    meta = meta.join(F.broadcast(used), ["span", "k"], "left").withColumn("placed", F.col("rank") < F.coalesce("used", F.lit(0))).withColumn("loose", F.when(F.col("placed"), F.expr(f"rest % {quantum}")).otherwise(F.col("rest")))
+    sums = np.zeros((len(places), 2), np.int64)
+    for g, some, full in meta.groupBy("span").agg(F.sum("loose"), F.sum("full")).collect():
+        sums[g] = some, full
+    before = np.concatenate([[[0, 0]], sums.cumsum(0)])
+    first_loose = -(-before[:, 0] // window)  # a window of leftovers is the range's in which it begins
+    made = np.array([p.windows for p in places]) + np.diff(first_loose) + sums[:, 1]
+    first = made.cumsum() - made
+    shipped = spark.sparkContext.broadcast((places, first, first_loose, before[:, 1]))
+    meta = _before(meta, "loose", [], "loose_before").select("row_id", "span", "full", "k", "rank", "placed", "loose", "full_before", "loose_before")
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = ids.select("doc_id", *(F.lit(0).cast("long").alias(c) if c != "ids" else F.lit(b"").alias(c) for c in names[1:])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = word_ids(tokenizer).dtype
+        places, first, first_loose, first_full = shipped.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -175,16 +212,20 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
                 for i, raw in enumerate(part.column("ids")):
                     own = np.frombuffer(raw.as_buffer(), dtype).astype("<u4")
                     n, full = len(own), cols["full"][i]
-                    cuts = [(w * window, window, first_full + cols["full_before"][i] + w, 0) for w in range(full)]
+                    g = cols["span"][i]
+                    own_full = int(first[g] + places[g].windows + first_loose[g + 1] - first_loose[g] - first_full[g]) + cols["full_before"][i]
+                    cuts = [(w * window, window, own_full + w, 0) for w in range(full)]
                     start = full * window
                     if cols["placed"][i] and cols["k"][i]:
                         k = cols["k"][i]
-                        cuts.append((start, k * quantum, *places.of(k, cols["rank"][i])))
+                        at_window, at_offset = places[g].of(k, cols["rank"][i])
+                        cuts.append((start, k * quantum, int(first[g]) + at_window, at_offset))
                         start += k * quantum
                     left, to = cols["loose"][i], cols["loose_before"][i]
                     while left:
                         some = min(left, window - to % window)
-                        cuts.append((start, some, places.windows + to // window, to % window))
+                        h = int(np.searchsorted(first_loose[:-1], to // window, "right")) - 1
+                        cuts.append((start, some, int(first[h] + places[h].windows - first_loose[h]) + to // window, to % window))
                         start, to, left = start + some, to + some, left - some
                     at += [i] * len(cuts)
                     out += [(s, m, own[s : s + m].tobytes(), n, q, o) for s, m, q, o in cuts]
