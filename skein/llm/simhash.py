@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import stored
@@ -33,7 +33,7 @@ BITS = 64
 BUCKET = 8192
 #: MinHash tables, and the least hashes in a key of one.
 TABLES, ROWS = 24, 5
-#: Rounds in which a bucket's nodes are checked against one of them before all its pairs are.
+#: Rounds in which a bucket's nodes are checked against one of them before the rest is joined by rare shingles.
 STARS = 2
 
 
@@ -226,6 +226,39 @@ def _checked(pairs: DataFrame, texts: DataFrame, words: int, bound: Fraction) ->
     return stored(met.mapInArrow(run, "u long, v long, ok boolean"), "minhash-checked")
 
 
+def _sharing(live: DataFrame, texts: DataFrame, words: int, bound: Fraction) -> DataFrame:
+    """Pairs of ``live(id, size, label)`` under different labels that may be alike: ``(u, v)``. No pair that is alike is missed.
+
+    Shingles are put in one order, the rarest among the live texts first. Of two sets alike to ``bound`` each holds a
+    common shingle among its first size - ceil(bound * size) + 1, so only these are joined; and their first common one has
+    enough shared shingles behind it on either side. Texts that merely have a passage or a template in common fail either
+    test. Shingles of one text alone meet nothing and are left out before the sort.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                sets = [shingles(t.as_py(), words) for t in part.column(1).cast(pa.binary())]
+                ids = np.repeat(part.column(0).to_numpy(), [len(h) for h in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "token"])
+
+    tokens = stored(texts.join(live.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, token long"), "minhash-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    by = Window.partitionBy("id")
+    shared = tokens.join(often, "token").withColumns({"nth": F.row_number().over(by.orderBy("n", "token")), "k": F.count("*").over(by)})
+    need = F.expr(f"(size * {bound.numerator} + {bound.denominator - 1}) div {bound.denominator}")
+    first = shared.join(live, "id").withColumn("left", F.col("k") - F.col("nth") + 1).where(F.col("left") >= need)
+    first = stored(first.select("token", "id", "size", "label", "left"), "minhash-prefixes")
+    mixed = first.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("token")
+    first = first.join(mixed, "token", "left_semi")
+    other = first.select("token", *(F.col(c).alias(f"other_{c}") for c in ("id", "size", "label", "left")))
+    # alike means: (common) / (size + size - common) >= bound
+    enough = F.least("left", "other_left") * F.lit(bound.denominator + bound.numerator) >= (F.col("size") + F.col("other_size")) * F.lit(bound.numerator)
+    met = first.join(other, "token").where("id > other_id and label != other_label").where(enough)
+    return met.select(F.col("id").alias("u"), F.col("other_id").alias("v")).distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, rows: int = ROWS, stars: int = STARS) -> DataFrame:
     """One row for each row of docs: ``doc_id, text_hash, component_id, kept``, by Jaccard similarity of ``words``-word shingles.
 
@@ -234,7 +267,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     candidate is decided by the exact similarity of the sets of its whole texts; shingles are compared by 64-bit hashes.
 
     Texts with one set are one node. In each bucket all nodes are first checked against the one that meets most others,
-    ``stars`` times, so copies of one text come together at a row each; then all pairs of a bucket that are not yet together are checked.
+    ``stars`` times, so copies of one text come together at a row each. Members of buckets that still hold several
+    components are then joined by their rarest shingles (see _sharing), which loses no pair and makes none of texts that
+    have only a common passage.
     component_id is the smallest doc_id reachable; kept marks the component's first row by doc_id and text_hash, and its
     repeats. Nulls, repeats and other columns are as for near_duplicates.
     """
@@ -268,10 +303,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         live = now.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.struct(F.isnull("component").alias("alone"), "degree", "id", "size", "label")).alias("hub")).where("a != b")
         if k < stars:
             pairs = now.join(live.select("h", F.col("hub.id").alias("other"), F.col("hub.size").alias("other_size"), F.col("hub.label").alias("other_label")), "h")
+            pairs = pairs.where("label != other_label").where(fits).select(F.col("id").alias("u"), F.col("other").alias("v")).distinct()
         else:
-            now = now.join(live.select("h"), "h", "left_semi").select("h", "id", "size", "label")
-            pairs = now.join(now.select("h", *(F.col(c).alias(o) for c, o in (("id", "other"), ("size", "other_size"), ("label", "other_label")))), "h").where("id > other")
-        pairs = pairs.where("label != other_label").where(fits).select(F.col("id").alias("u"), F.col("other").alias("v")).distinct()
+            pairs = _sharing(stored(now.join(live.select("h"), "h", "left_semi").select("id", "size", "label").distinct(), "minhash-live"), asked, words, bound)
         if tested is not None:
             for a, b in (("u", "v"), ("v", "u")):
                 pairs = pairs.join(tested.select(F.col(a).alias("u"), F.col(b).alias("v")), ["u", "v"], "left_anti")
