@@ -1,20 +1,21 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-A source's documents are numbered and cut into blocks of ``block`` documents. Weights are whole numbers of slots in a
-period. Block i of a source with weight w (its share of the slots) is released at floor((i - 1) / w) and due at ceil(i / w);
-in each slot the released block with the earliest deadline goes. At any time each source then has had its share of the
-slots to within less than one block. The schedule repeats after a period, so one period is all that is simulated, and a
-block's slot follows from its number by arithmetic.
-
-When a source has no block left, the period ends there, and the rest is mixed to the remaining weights: no document is
-dropped or repeated. Only the sources' sizes reach the driver, one number for each; a source's documents are ranked in
-salted groups plus the groups' totals, so a source of any size is ranked in many tasks.
+A source's documents are numbered and cut into blocks. Weights are exact fractions w that sum to 1. Block i (from 1) of a
+source is released at slot floor((i - 1) / w) and due by slot ceil(i / w); in each slot the released block with the
+earliest deadline goes. At any time each source then has had its target share of the slots to within less than one block.
+When a source has no block left, the others go on from there by their remaining weights: no document is dropped or repeated.
+
+The schedule is made on the driver, from one number for each source. A block has ``block`` documents, or more where the
+corpus would need over ``slots`` blocks of that size: the schedule and what is broadcast stay below that many rows at any
+size. A source's documents are ranked in salted groups plus the groups' totals, so a source of any size is ranked in many
+tasks; a rank gives the block, and a join with the schedule the place. All of it is column expressions.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,118 +24,104 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import salt
 
-BLOCK, PERIOD, ALPHA = 16, 1024, 0.5
+BLOCK, SLOTS, ALPHA = 16, 1 << 18, 0.5
 
 
-def slots(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainders; each has one at least."""
-    period, total = max(period, 2 * len(weights)), sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def fraction(weight: float | str | Fraction) -> Fraction:
+    """A float is the decimal fraction that it prints as: 0.1 is one tenth."""
+    return weight if isinstance(weight, Fraction) else Fraction(str(weight))
+
 
+def exact(weights: Mapping[str, float | Fraction]) -> dict[str, Fraction]:
+    """Shares of 1."""
+    parts = {s: fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in parts.values()):
+        raise ValueError("weights must be positive")
+    total = sum(parts.values())
+    return {s: w / total for s, w in parts.items()}
 
-def schedule(share: Mapping[str, int]) -> list[str]:
-    """The sources of a period's slots: earliest deadline first among the released blocks, ties by name."""
-    period = sum(share.values())
-    released: dict[int, list[str]] = {0: sorted(share)}
-    nth, due, out = dict.fromkeys(share, 0), [], []
-    for t in range(period):
-        for s in released.pop(t, ()):
-            nth[s] += 1
-            heapq.heappush(due, (-(-nth[s] * period // share[s]), s))
+
+def schedule(shares: Mapping[str, Fraction], blocks: Mapping[str, int]) -> list[str]:
+    """The source of each slot until one of them has had all its ``blocks``; ties of deadlines go by name."""
+    waiting = [(0, s) for s in sorted(shares)]  # by release
+    due: list[tuple[int, str]] = []
+    had, out = dict.fromkeys(shares, 0), []
+    rates = {s: (w.numerator, w.denominator) for s, w in shares.items()}
+    while True:
+        while waiting and waiting[0][0] <= len(out):
+            _, s = heapq.heappop(waiting)
+            n, d = rates[s]
+            heapq.heappush(due, (-(-(had[s] + 1) * d // n), s))
         _, s = heapq.heappop(due)
         out.append(s)
-        if nth[s] < share[s]:
-            released.setdefault(max(t + 1, nth[s] * period // share[s]), []).append(s)
+        had[s] += 1
+        if had[s] == blocks[s]:
+            return out
+        n, d = rates[s]
+        heapq.heappush(waiting, (max(len(out), had[s] * d // n), s))
+
+
+def mixture(blocks: Mapping[str, int], weights: Mapping[str, float | Fraction]) -> list[str]:
+    """The sources of all slots: one schedule after another, each without the sources that have ended."""
+    left, out = {s: n for s, n in blocks.items() if n > 0}, []
+    while left:
+        part = schedule(exact({s: weights[s] for s in left}), left)
+        out += part
+        for s in part:
+            left[s] -= 1
+        left = {s: n for s, n in left.items() if n}
     return out
 
 
-class Plan:
-    """Slots of all blocks, as phases: the sources that still have blocks, and their period."""
-
-    def __init__(self, docs: Mapping[str, int], weights: Mapping[str, float], block: int, period: int) -> None:
-        left = {s: -(-n // block) for s, n in docs.items() if n > 0}
-        done, slot = dict.fromkeys(left, 0), 0
-        #: Of each source: its first block of a phase, the phase's first slot, its period's slots, the period's length.
-        self.phases: dict[str, list[tuple[int, int, np.ndarray, int]]] = {s: [] for s in left}
-        while left:
-            share = slots({s: weights[s] for s in left}, period)
-            order, length = schedule(share), sum(share.values())
-            at = {s: np.array([i for i, o in enumerate(order) if o == s]) for s in left}
-            for s in left:
-                self.phases[s].append((done[s], slot, at[s], length))
-            whole = min((left[s] - 1) // share[s] for s in left)
-            rest = {s: left[s] - whole * share[s] for s in left}
-            # within one more period at least one source ends: the first whose last block's slot comes
-            end = min(int(at[s][rest[s] - 1]) for s in left if rest[s] <= share[s]) + 1
-            taken = {s: whole * share[s] + int(np.searchsorted(at[s], end)) for s in left}
-            slot += whole * length + end
-            done = {s: done[s] + taken.get(s, 0) for s in done}
-            left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
-        self.block = block
-        #: A source's last block may be short: slots behind it begin so many documents earlier.
-        short = sorted((int(self.slot(s, np.array([-(-n // block) - 1]))[0]), -n % block) for s, n in docs.items() if n > 0)
-        self.short_at = np.array([s for s, _ in short])
-        self.missing = np.concatenate([[0], np.cumsum([m for _, m in short])]).astype(np.int64)
-
-    def slot(self, source: str, blocks: np.ndarray) -> np.ndarray:
-        phases = self.phases[source]
-        of = np.searchsorted([p[0] for p in phases], blocks, "right") - 1
-        out = np.empty(len(blocks), np.int64)
-        for k in np.unique(of):
-            first, start, at, length = phases[k]
-            own = blocks[of == k] - first
-            out[of == k] = start + own // len(at) * length + at[own % len(at)]
-        return out
-
-    def position(self, slot: np.ndarray, within: np.ndarray) -> np.ndarray:
-        return slot * self.block - self.missing[np.searchsorted(self.short_at, slot, "left")] + within
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def block_size(sizes: Mapping[str, int], block: int, slots: int) -> int:
+    """The least multiple of ``block`` by a power of two that makes at most ``slots`` blocks of whole sources, or one block each."""
+    while sum(-(-n // block) for n in sizes.values()) > max(slots, len(sizes)):
+        block *= 2
+    return block
+
+
+def plan(sizes: Mapping[str, int], weights: Mapping[str, float | Fraction], block: int) -> pa.Table:
+    """``source, block, slot, first``: of every block its slot, and the position of its first document."""
+    order = mixture({s: -(-n // block) for s, n in sizes.items()}, weights)
+    names = sorted(set(order))
+    of = np.searchsorted(names, order) if names else np.zeros(0, np.int64)
+    number, held = np.zeros(len(order), np.int64), np.full(len(order), block, np.int64)
+    for k, s in enumerate(names):
+        at = np.flatnonzero(of == k)
+        number[at] = np.arange(len(at))
+        held[at[-1]] = sizes[s] - (len(at) - 1) * block  # the last block may be short
+    return pa.table({"source": pa.array([names[k] for k in of], pa.string()), "block": number, "slot": np.arange(len(order)), "first": np.cumsum(held) - held})
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, alpha: float = ALPHA, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """Adds ``block, slot, position`` to the rows of docs; position is gapless from 0 over the mixture.
 
     ``weights`` are the sources' target weights; a source without one, and every source if there are none, weighs its number
     of documents to the power ``alpha`` (as a share of all of them, times the given weights' total). A null source is a source of its
     own. Sources are expected to be few enough for the driver: it gets one number for each. Rows of a source are ordered
-    by a hash of doc_id and, where docs has it, text, so repeated rows stand together. An empty table gives an empty result. Columns of
-    docs stay; one named block, slot or position is replaced.
+    by a hash of doc_id and, where docs has it, text; equal hashes go by doc_id, repeated rows stand together in any order.
+    An empty table gives an empty result. Columns of docs stay; one named block, slot or position is replaced.
     """
-    spark, names = docs.sparkSession, [c for c in docs.columns if c not in ("block", "slot", "position")]
-    own = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(names)))
+    spark, extra = docs.sparkSession, ["block", "slot", "position"]
+    names = [c for c in docs.columns if c not in extra]
+    own = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(names)))  # no name of docs can clash with those below
     doc_id, source, *text = (F.col(f"__{names.index(c)}") for c in ("doc_id", "source", "text") if c in names)
     keyed = own.withColumns({"source": F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("")), "order": F.xxhash64(doc_id, *text)}).withColumn("salt", salt(spark, F.col("order")))
     groups = keyed.groupBy("source", "salt").agg(F.count("*").alias("n"))
-    totals = {r["source"]: r["n"] for r in groups.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    given = {"" if s is None else "s" + s: float(w) for s, w in (weights or {}).items()}
-    sizes = {s: n**alpha for s, n in totals.items()}
-    scale = (sum(given.values()) or 1.0) / (sum(sizes.values()) or 1.0)
-    plan = Plan(totals, {s: given.get(s, sizes[s] * scale) for s in totals}, block, period)
+    sizes = {r["source"]: r["n"] for r in groups.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    given = {"" if s is None else "s" + s: w for s, w in (weights or {}).items()}
+    powers = {s: Fraction(n**alpha) for s, n in sizes.items()}
+    scale = sum(map(fraction, given.values())) / sum(powers.values()) if given and powers else Fraction(1)
+    size = block_size(sizes, block, slots)
+    made = plan(sizes, {s: given.get(s, powers[s] * scale) for s in sizes}, size)
     before = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("source", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("source", "salt").orderBy("order", doc_id)) - 1)
-    ranked = ranked.join(groups, ["source", "salt"]).select(*own.columns, "source", (F.col("base") + F.col("rank")).alias("rank"))
-    extra = ["block", "slot", "position"]
-    schema = docs.select(*(docs[c] for c in names), *(F.lit(0).cast("long").alias(c) for c in extra)).schema
-    shipped = spark.sparkContext.broadcast(plan)  # sources x phases x period
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = shipped.value
-        for batch in batches:
-            sources = np.array(batch.column("source").to_pylist(), object)
-            rank = batch.column("rank").to_numpy()
-            number, slot = rank // at.block, np.zeros(len(rank), np.int64)
-            for s in set(sources):
-                on = sources == s
-                slot[on] = at.slot(s, number[on])
-            found = (number, slot, at.position(slot, rank % at.block))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, found)], names=[*names, *extra])
-
-    return ranked.mapInArrow(run, schema)
+    ranked = ranked.join(groups, ["source", "salt"]).withColumn("rank", F.col("base") + F.col("rank"))
+    ranked = ranked.withColumns({"block": F.expr(f"rank div {size}"), "within": F.expr(f"rank % {size}")})
+    placed = ranked.join(F.broadcast(spark.createDataFrame(made)), ["source", "block"])  # at most slots rows, or one a source
+    at = {"block": F.col("block"), "slot": F.col("slot"), "position": F.col("first") + F.col("within")}
+    return placed.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)), *(c.cast("long").alias(n) for n, c in at.items()))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

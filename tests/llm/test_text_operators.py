@@ -133,20 +133,54 @@ def test_packing_round_trip(spark, docs, none):
     assert packing.pack(none).count() == 0
 
 
+def lags(order, weights):
+    """The largest distance of any source from its share of the first t slots, by the given weights."""
+    shares, seen, most = mixing.exact(weights), dict.fromkeys(weights, 0), 0
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        most = max(most, *(abs(w * t - seen[x]) for x, w in shares.items()))
+    return most
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 0.9999, "b": 0.0001}, {"a": 2**0.5, "b": 3**0.5, "c": 0.01, "d": 5**0.5}])
+def test_pfair_lag_of_the_given_weights(weights):
+    order = mixing.schedule(mixing.exact(weights), dict.fromkeys(weights, 20_000))
+    assert len(order) >= 20_000 and lags(order, weights) < 1
+
+
 def test_pfair_lag():
-    for seed in range(100):
+    for seed in range(150):
         r = random.Random(seed)
-        share = mixing.slots({f"s{i}": r.random() + 0.01 for i in range(r.randrange(1, 9))}, r.choice([16, 64]))
-        period, seen = sum(share.values()), dict.fromkeys(share, 0)
-        for t, s in enumerate(mixing.schedule(share), 1):
-            seen[s] += 1
-            assert all(abs(Fraction(share[x] * t, period) - seen[x]) < 1 for x in share)
+        weights = {f"s{i}": r.choice([r.random() + 0.001, Fraction(r.randrange(1, 9), 7), r.randrange(1, 5)]) for i in range(r.randrange(1, 9))}
+        blocks = {s: r.randrange(1, 300) for s in weights}
+        order = mixing.mixture(blocks, weights)
+        assert {s: order.count(s) for s in weights} == blocks
+        left = dict(blocks)
+        while order:  # each part, up to the end of a source, keeps to the weights of the sources in it
+            part = mixing.schedule(mixing.exact({s: weights[s] for s in left}), left)
+            assert order[: len(part)] == part and lags(part, {s: weights[s] for s in left}) < 1
+            order = order[len(part) :]
+            left = {s: n - part.count(s) for s, n in left.items() if n > part.count(s)}
+
+
+def test_plan_numbers_every_block():
+    sizes = {"a": 1003, "b": 17, "c": 1}
+    assert mixing.block_size(sizes, 16, 1 << 18) == 16 and mixing.block_size(sizes, 16, 10) == 128 and mixing.block_size(sizes, 16, 1) == 1024
+    rows = mixing.plan(sizes, {"a": 5.0, "b": 1.0, "c": 1.0}, 16).to_pylist()
+    assert [r["slot"] for r in rows] == list(range(len(rows)))
+    at = 0
+    for r in rows:
+        assert r["first"] == at
+        at += min(16, sizes[r["source"]] - 16 * r["block"])
+    assert at == sum(sizes.values())
 
 
 def test_mixing(docs, none):
-    out = mixing.mix(docs, weights={"s0": 2.0, "s1": 1.0}, block=2, period=8).collect()
-    assert sorted(r.position for r in out) == list(range(docs.count()))
-    assert sorted(str((r.doc_id, r.text)) for r in out) == sorted(str((r.doc_id, r.text)) for r in docs.collect())
+    for block, slots in ((2, 1 << 18), (1, 3)):
+        out = mixing.mix(docs, weights={"s0": 2.0, "s1": 1.0}, block=block, slots=slots).collect()
+        assert sorted(r.position for r in out) == list(range(docs.count()))
+        assert sorted(str((r.doc_id, r.text)) for r in out) == sorted(str((r.doc_id, r.text)) for r in docs.collect())
+        assert [(r.slot, r.block, r.source) for r in sorted(out, key=lambda r: r.position)] == sorted((r.slot, r.block, r.source) for r in out)
     assert mixing.mix(none).count() == 0
 
 
