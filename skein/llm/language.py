@@ -5,8 +5,8 @@ table of embeddings, whose average over the whole text a linear layer turns into
 trained together by stochastic gradient descent. A temperature, fitted on rows kept from the descent, calibrates the
 scores, and the least score at which ``precision`` of these rows were right is the model's own bound for rejection.
 
-Training takes at most ``each`` documents of a language, those with the least hash of their id; their n-gram counts are
-what the driver gets. Prediction runs where documents are read, over whole texts, without a shuffle.
+Training takes at most ``each`` documents of a language and about ``rows`` in all, those with the least hash of their id;
+their n-gram counts are what the driver gets. Prediction runs where documents are read, over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.quality import remainder
 
-BUCKETS, DIM, EACH, EPOCHS, RATE, BATCH, SLICE = 4096, 16, 500, 30, 0.5, 32, 1 << 18
+BUCKETS, DIM, EACH, ROWS, EPOCHS, RATE, BATCH, SLICE = 4096, 16, 500, 8000, 30, 0.5, 32, 1 << 18
 
 
 @lru_cache(1)
@@ -107,19 +107,31 @@ def fit(x: np.ndarray, langs: list[str], precision: float = 0.99, seed: int = 0)
     return Model(names, logits, b, float(temperature), float(top[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0)
 
 
-def train(docs: DataFrame, each: int = EACH) -> Model | None:
-    """Fits on ``each`` documents of every non-null ``lang``; None if no document has both a language and a letter."""
+def train(docs: DataFrame, each: int = EACH, rows: int = ROWS) -> Model | None:
+    """Fits on ``each`` documents of every non-null ``lang``, fewer where languages would have over ``rows`` together.
+
+    These are the ones with the least hash of their id. Of rows with one id and language the one with the least text is
+    learned; an id with several languages is learned under each, from its own rows. None if no document has both a
+    language and a letter.
+    """
     named = docs.where("lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = named.withColumn("__nth", F.row_number().over(order)).where(f"__nth <= {each}").select("doc_id", "lang").dropDuplicates(["doc_id"])
-    texts = docs.where("lang is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # a number a language
+    if not sizes:
+        return None
+    each = max(1, min(each, rows // len(sizes)))
+    # a bound on the hash lets twice the sample through, so that a common language is not ranked whole in one task
+    share = F.create_map(*(F.lit(x) for s, n in sizes.items() for x in (s, min(1.0, 2 * each / n))))
+    some = named.withColumn("__h", F.xxhash64(F.col("doc_id").cast("string"))).where(F.shiftrightunsigned("__h", 11) < share[F.col("lang")] * F.lit(float(1 << 53)))
+    order = Window.partitionBy("lang").orderBy("__h", "doc_id")
+    sample = some.select("doc_id", "lang", "__h").distinct().withColumn("__nth", F.row_number().over(order)).where(f"__nth <= {each}").select("doc_id", "lang")
+    texts = docs.where("lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, v, c) for i, v, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (c := counts(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary())], names=["h", "lang", "counts"])
 
-    met = texts.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")
+    met = texts.join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")
     got = sorted(((r["h"], r["lang"], r["counts"]) for r in met.mapInArrow(run, "h long, lang string, counts binary").toArrow().to_pylist()), key=lambda r: r)
     if not got:
         return None
@@ -129,9 +141,11 @@ def train(docs: DataFrame, each: int = EACH) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``lang_pred``, ``score`` and ``accepted`` (the score reaches the model's bound) of every whole text.
 
+    A kept column of one of these names is replaced. Languages of equal score go by name.
     A null text, and one without a letter, is ``und`` with score 0 and not accepted; so is all without a model. Repeated
     rows are predicted alike; an empty table gives an empty result.
     """
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "accepted")]
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("accepted")).schema
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: buckets x languages
 
@@ -152,4 +166,4 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = remainder(F.col("doc_id"), 4) == 2
     out = identify(docs, train(docs.where(~held)), ["doc_id"])
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
