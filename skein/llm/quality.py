@@ -122,12 +122,14 @@ def remainder(id_: Column, by: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Fits on the ``rows`` labelled documents with the least hash of their id. Ids with two different labels, null ids
-    and labels other than 0 and 1 are left out; without any labelled row every score is 0.5."""
+    and labels other than 0 and 1 are left out, equal hashes go by id, and of rows with one id the one with the least text
+    is learned; without any labelled row every score is 0.5."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__most")).where("quality = __most")
     # ids first: the sample is bounded before any text is read; an id without a document costs its place
     sample = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a repeated id brings one row, not all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +144,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score``, 0 to 1, of every whole text.
 
-    A null text scores as an empty one. Repeated rows score alike; an empty table gives an empty result.
+    A null text scores as an empty one. Repeated rows score alike; an empty table gives an empty result. A kept column of
+    the name score is replaced.
     """
+    keep = [c for c in keep if c.lower() != "score"]
     schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2^BITS weights
 
