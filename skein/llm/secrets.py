@@ -67,8 +67,9 @@ def scan(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> D
     """``keep`` columns and ``spans array<struct<kind, start, end>>``: code points, end exclusive, by start and rule.
 
     A null or empty text has no spans. Every row of docs gives one row, repeated ones too; an empty table none. Columns
-    of docs that are not kept are not read.
+    of docs that are not kept are not read; a kept one of the name spans is replaced. Equal starts go by the rules' order.
     """
+    keep = [c for c in keep if c.lower() != "spans"]
     schema = docs.select(*keep, F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)").alias("spans")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
