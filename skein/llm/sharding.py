@@ -39,7 +39,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "d
     result. Other columns of docs are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    keys = [F.col(key)]
+    keys = [F.col(key).cast("string")]  # the id's text, so that an id's type does not move it
     rows = docs.select(key, (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumns({
         "shard": shard_of(keys, weights),
@@ -56,7 +56,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "d
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key: str = "doc_id", files: int = 1) -> None:
     """Writes docs as Parquet, one folder a shard, at most ``files`` files each, dealt by a hash of the key."""
-    out = docs.withColumns({"shard": shard_of([F.col(key)], weights), "__file": F.pmod(F.xxhash64(key), F.lit(files))})
+    out = docs.withColumns({"shard": shard_of([F.col(key).cast("string")], weights), "__file": F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(files))})
     out.repartition("shard", "__file").drop("__file").write.partitionBy("shard").parquet(path)
 
 
