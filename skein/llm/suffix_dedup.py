@@ -28,8 +28,8 @@ from skein.llm.common import partitions, stored
 from skein.llm.suffixes import Family
 
 WINDOW, GROUP, SAMPLE, HOT_SHARE, SALTS = 200, 100_000, 2000, 0.01, 16
-#: Bytes of contexts in a batch of the family.
-BATCH = 16 << 20
+#: Bytes of contexts in a batch of the family: few enough that a task adds several and merges levels.
+BATCH = 1 << 20
 
 
 def _pack(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, group: int = GROUP, batch
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     texts = texts.withColumn("rk", F.xxhash64("doc_id", "raw"))
-    spans = repeats(texts.select("rk", "raw"), window, group, batch_bytes).groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeats(texts.select("rk", "raw"), window, group, batch_bytes).groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # a set: repeated rows find the same spans
     runs = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     schema = texts.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("removed"), F.lit(b"").alias("kept")).schema
 
