@@ -97,8 +97,10 @@ class WordIds:
             ids = np.array(self.words([" ".join(words.values())], add_special_tokens=False)[0].ids, self.dtype)
             at = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
             raw = ids.tobytes()
-            assert len(at) == len(words), "a word did not end in its last token"
-            got.update((c, raw[a:b]) for c, a, b in zip(words, [0, *at.tolist()], at.tolist(), strict=False))
+            if len(at) == len(words):
+                got.update((c, raw[a:b]) for c, a, b in zip(words, [0, *at.tolist()], at.tolist(), strict=False))
+            else:  # a word's last token does not end it, or another one does: each by itself
+                got.update((c, self.whole(c.decode())) for c in words)
         for c, head, marks in split:
             got[c] = (got[head] if head in got else known[head]) + (got[marks] if marks in got else known[marks])
         return got
