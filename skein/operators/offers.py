@@ -34,6 +34,13 @@ def roll_up(observations: DataFrame) -> DataFrame:
     return out.select("offer", F.col("__o.price").alias("price"), F.col("__o.observed_at").alias("observed_at"), F.col("__o.comparability").alias("comparability"), "n_observations", "listings")
 
 
+def current(observations: DataFrame) -> DataFrame:
+    """``offer, variant, price, comparability, active``: the latest price, and whether any observation is active; one aggregation."""
+    latest = F.max(F.struct("observed_at", "seq", "price", "comparability"))
+    out = observations.groupBy("offer").agg(latest.alias("__o"), F.bool_or("active").alias("active"), F.min("variant").alias("variant"))
+    return out.select("offer", "variant", F.col("__o.price").alias("price"), F.col("__o.comparability").alias("comparability"), "active")
+
+
 def variant_comparability(offers: DataFrame) -> DataFrame:
     """``variant, n_active, comparability, best_price``: unknown without an active offer, comparable if all active ones are."""
     active = F.col("active")

@@ -259,11 +259,12 @@ def block_code(spark, d):
     return met.groupBy("listing").agg(F.count("*").alias("n"))
 
 
-@query("with k as (select distinct l_partkey as listing, l_suppkey as s from lineitem where l_quantity < 3) select a.listing, count(distinct b.listing) as partners from k a join k b on a.s = b.s and a.listing <> b.listing group by 1")
+@query("with k as (select distinct l_partkey as listing, l_suppkey as s from lineitem), n as (select s, count(*) - 1 as n from k group by 1) select listing, count(*) as keys, cast(sum(n) as bigint) as partners from k join n using (s) where n > 0 group by 1")
 def block_sku_self(spark, d):
-    k = t(spark, d, "lineitem").where("l_quantity < 3").selectExpr("l_partkey as listing", "l_suppkey as key").distinct()
-    met = blocking.block(k, k.select(F.col("listing").alias("member"), F.col("listing").alias("entity"), "key"), "merchant_sku_index", 3)
-    return met.groupBy("listing").agg(F.count("*").alias("partners"))
+    """Sellers that a part shares with other parts, and how many others it meets over all of them."""
+    k = t(spark, d, "lineitem").selectExpr("l_partkey as listing", "l_suppkey as key").distinct()
+    met = blocking.block_counts(k, k.select(F.col("listing").alias("member"), F.col("listing").alias("entity"), "key"))
+    return met.groupBy("listing").agg(F.count("*").alias("keys"), F.sum("n").alias("partners"))
 
 
 @query("select p_brand as key, count(distinct p_partkey) as n, cast(count(distinct p_partkey) * (count(distinct p_partkey) - 1) as bigint) as pairs from part group by 1")
@@ -271,13 +272,13 @@ def block_sizes(spark, d):
     return blocking.block_sizes(parts(spark, d).select("listing", F.col("p_brand").alias("key")))
 
 
-CAND_SQL = f"""with p as (select p_partkey as listing, {PRODUCT_SQL} as product, concat({PRODUCT_SQL}, '|', p_type) as typed, p_brand, p_name from part where p_partkey < 400),
+CAND_SQL = f"""with p as (select p_partkey as listing, {PRODUCT_SQL} as product, concat({PRODUCT_SQL}, '|', p_type) as typed, p_brand, p_name from part),
 c as (select a.listing, b.product as entity, 'full_code_index' as index, 2 as strength from p a join p b on a.typed = b.typed and a.listing <> b.listing
 union select a.listing, b.product, 'token_index', 1 from p a join p b on a.p_name = b.p_name and a.listing <> b.listing)"""
 
 
 def part_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = parts(spark, d).where("listing < 400").withColumn("typed", F.concat_ws("|", "product", "p_type"))
+    p = parts(spark, d).withColumn("typed", F.concat_ws("|", "product", "p_type"))
     build = lambda key: p.select(F.col("listing").alias("member"), F.col("product").alias("entity"), F.col(key).alias("key"))
     probe = lambda key: p.select("listing", F.col(key).alias("key"))
     return blocking.block(probe("typed"), build("typed"), "full_code_index", 2).unionAll(blocking.block(probe("p_name"), build("p_name"), "token_index", 1))
@@ -294,20 +295,24 @@ def top_stratum(spark, d):
     return blocking.top_stratum(blocking.support(part_candidates(spark, d)))
 
 
-@query("select distinct a.p_partkey as listing, concat(b.p_type, '|', b.p_size) as variant from part a join part b on a.p_name = b.p_name and a.p_brand = b.p_brand and a.p_type = b.p_type where a.p_partkey <> b.p_partkey and a.p_partkey % 2 = 0")
+@query("select distinct a.p_partkey as listing, concat(b.p_type, '|', b.p_size) as variant from part a join part b on a.p_name = b.p_name and a.p_brand = b.p_brand and a.p_type = b.p_type where a.p_partkey <> b.p_partkey")
 def variant_viability(spark, d):
     p = parts(spark, d)
-    asked = p.where("listing % 2 = 0").select("listing", "product", F.create_map(F.lit("type"), "p_type").alias("dims"))
-    build = p.select("product", F.col("listing").alias("member"), F.concat_ws("|", "p_type", F.col("p_size").cast("string")).alias("variant"), F.create_map(F.lit("type"), F.lower("p_type"), F.lit("size"), F.col("p_size").cast("string")).alias("attrs"))
-    met = asked.join(build, "product").where("listing <> member")
-    return met.where(blocking.viable(F.col("dims"), F.col("attrs"))).select("listing", "variant").distinct()
+    build = p.select(F.col("product").alias("key"), F.col("listing").alias("member"), F.concat_ws("|", "p_type", F.col("p_size").cast("string")).alias("entity"), "p_type", "p_size")
+    attrs = F.create_map(F.lit("type"), F.lower("p_type"), F.lit("size"), F.col("p_size").cast("string"))
+    variants = blocking.entities(build, "p_type", "p_size").select("key", "entity", "members", "one", attrs.alias("attrs"))
+    met = p.select("listing", F.col("product").alias("key"), F.create_map(F.lit("type"), "p_type").alias("dims")).join(variants, "key").where(blocking.others())
+    return met.where(blocking.viable(F.col("dims"), F.col("attrs"))).select("listing", F.col("entity").alias("variant")).distinct()
 
 
 @query("select a.p_partkey as listing, count(*) as n_conflicts from part a join part b on a.p_name = b.p_name and a.p_brand = b.p_brand where a.p_partkey <> b.p_partkey and (a.p_type <> b.p_type or a.p_size <> b.p_size) group by 1")
 def variant_conflicts(spark, d):
-    p = parts(spark, d).withColumn("dims", F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string")))
-    met = p.select("listing", "product", "dims").join(p.select("product", F.col("listing").alias("member"), F.col("dims").alias("attrs")), "product")
-    return met.where("listing <> member").where(blocking.conflicts(F.col("dims"), F.col("attrs"))).groupBy("listing").agg(F.count("*").alias("n_conflicts"))
+    """A listing never conflicts with its own dimensions, so members are counted by their dimensions before they are met."""
+    p = parts(spark, d)
+    dims = F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))
+    kinds = p.groupBy("product", "p_type", "p_size").agg(F.count("*").alias("n")).select("product", "n", dims.alias("attrs"))
+    met = p.select("listing", "product", dims.alias("dims")).join(kinds, "product").where(blocking.conflicts(F.col("dims"), F.col("attrs")))
+    return met.groupBy("listing").agg(F.sum("n").alias("n_conflicts"))
 
 
 @query(f"""select p_partkey, concat('up:', substr(sha1(concat('unknown|', lower(p_brand), '|', lower(p_name), '|')), 1, 16)) as product,
@@ -318,29 +323,11 @@ def entity_ids(spark, d):
     return t(spark, d, "part").select("p_partkey", product.alias("product"), offers.variant_id(product, dims).alias("variant"))
 
 
-@query("""with recursive e as (select distinct concat('p', l_partkey) as a, concat('s', l_suppkey % 10) as b from lineitem where l_orderkey % 97 = 0 union select distinct concat('s', l_suppkey % 10), concat('p', l_partkey) from lineitem where l_orderkey % 97 = 0),
-r as (select a as node, a as reach from e union select r.node, e.b from r join e on r.reach = e.a) select node, min(reach) as component from r group by 1""")
+@query()
 def token_components(spark, d):
-    edges = t(spark, d, "lineitem").where("l_orderkey % 97 = 0").selectExpr("concat('p', l_partkey) as a", "concat('s', l_suppkey % 10) as b")
-    return graph.components(edges)
-
-
-@query("""with r as (select p_partkey as listing, p_name, p_brand, p_type, p_size from part where p_partkey % 13 = 0), m as (select * from part where p_partkey % 13 <> 0),
-c as (select r.listing, m.p_name || '|' || m.p_brand as product, max(case when r.p_brand = m.p_brand then 2 else 1 end) as strength from r join m on r.p_name = m.p_name group by 1, 2),
-top as (select * from (select *, rank() over (partition by listing order by strength desc) as k from c) where k = 1),
-n as (select listing, count(*) as n, min(product) as product from top group by 1),
-v as (select n.listing, count(distinct m.p_type || '|' || m.p_size) filter (where m.p_type = r.p_type) as fit, min(m.p_name || '|' || m.p_brand || '|' || m.p_type || '|' || m.p_size) filter (where m.p_type = r.p_type) as variant from n join r using (listing) join m on m.p_name || '|' || m.p_brand = n.product where n.n = 1 group by 1)
-select r.listing, case when v.fit = 1 then 'MATCH' when n.listing is null then 'NO_MATCH' else 'REVIEW' end as decision, case when n.n = 1 then n.product end as product, case when v.fit = 1 then v.variant end as variant,
-coalesce((select count(*) from c where c.listing = r.listing), 0) as n_candidates from r left join n using (listing) left join v using (listing)""")
-def resolve_decisions(spark, d):
-    p = parts(spark, d)
-    asked, members = p.where("listing % 13 = 0"), p.where("listing % 13 <> 0")
-    none = F.lit(None).cast("string")
-    met = asked.select("listing", "p_name", F.col("p_brand").alias("own")).join(members.select("p_name", "p_brand", "product"), "p_name")
-    found = met.groupBy("listing", "product").agg(F.max(F.when(F.col("own") == F.col("p_brand"), 2).otherwise(1)).alias("strength")).select("listing", "product", none.alias("category"), none.alias("generation"), "strength", F.array().cast("array<string>").alias("pins"))
-    variants = members.select("product", "variant", F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string")).alias("attrs")).dropDuplicates(["product", "variant"])
-    requests = asked.select("listing", none.alias("category"), none.alias("generation"), F.create_map(F.lit("type"), F.col("p_type")).alias("dims"), F.lit("primary_product").alias("product_type"))
-    return resolve.decide(requests, found, variants).select("listing", "decision", "product", "variant", "n_candidates")
+    """Parts and suppliers that lines connect; compared with union-find in the tests, as a closure in SQL is quadratic."""
+    return graph.components(t(spark, d, "lineitem").selectExpr("concat('p', l_partkey) as a", "concat('s', l_suppkey) as b"))
+
 
 
 # ------------------------------------------------------------------ offers, checks, exports
@@ -370,10 +357,7 @@ def offer_rollup(spark, d):
 select variant, count(*) filter (where active) as n_active, case when count(*) filter (where active) = 0 then 'UNKNOWN' when bool_and(not active or comparability = 'COMPARABLE') then 'COMPARABLE' else 'CONDITIONAL' end as comparability,
 min(price) filter (where active and comparability = 'COMPARABLE') as best_price from (select o.* exclude (active), a.active from l o join (select offer, bool_or(active) as active from o group by 1) a using (offer)) group by 1""")
 def variant_comparability(spark, d):
-    seen = observations(spark, d)
-    current = offers.roll_up(seen).select("offer", "price", "comparability")
-    flags = seen.groupBy("offer").agg(F.bool_or("active").alias("active"), F.min("variant").alias("variant"))
-    return offers.variant_comparability(current.join(flags, "offer"))
+    return offers.variant_comparability(offers.current(observations(spark, d)))
 
 
 @query("select concat('of:', substr(sha1(concat(lower(trim(s_name)), '|', s_nationkey, '|new')), 1, 16)) as offer, s_suppkey from supplier")
@@ -427,7 +411,7 @@ def committed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Parts as a supplier's feed through the whole engine: log, adapters, components, fold."""
     from skein.operators import commit
 
-    p = t(spark, d, "part").where("p_size between 10 and 12").withColumn("title", F.expr(TITLE_SPARK))
+    p = t(spark, d, "part").withColumn("title", F.expr(TITLE_SPARK))
     payload = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("record_id"), F.col("title").alias("product_name"), F.lit("Shop").alias("merchant"), F.concat(F.lit("S"), "p_partkey").alias("merchant_sku"), F.col("p_retailprice").cast("string").alias("sale_price"), F.lit("2024-01-01T00:00:00Z").alias("last_updated")))
     rows = E.from_records(p.select(payload.alias("record"), "p_partkey"), "affiliate_a", "b1").withColumn("seq", F.get_json_object("payload", "$.record_id").cast("long"))
     return commit.tables(commit.catalog(rows)["entities"])
@@ -451,7 +435,7 @@ def conformance_checks(spark, d):
     return checks.conformance(committed(spark, d))
 
 
-@query("select concat('affiliate_a', '') as source, count(*) as listings, count(*) as observations from part where p_size between 10 and 12")
+@query("select concat('affiliate_a', '') as source, count(*) as listings, count(*) as observations from part")
 def commit_coverage(spark, d):
     """Every record has a listing, a decision and an observation."""
     made = committed(spark, d)
