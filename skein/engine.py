@@ -12,6 +12,7 @@ from skein.functions.text import fallback_tokens, family_tokens, full_codes
 from skein.operators import commit, resolve
 from skein.operators.commit import prepared
 from skein.operators.evidence import critical_dims, precedence, wide
+from skein.operators.graph import checkpointed
 from skein.plans import export
 from skein.sources import events as E
 from skein.sources import log
@@ -54,9 +55,10 @@ class Engine:
 
     def resolve(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Decisions for ``requests(listing, payload)``, and the offers of matched variants; the catalog stays as it is."""
-        asked = self.requests(requests)
         snap = resolve.snapshot(self.tables())
-        found = resolve.decide(asked, resolve.candidates(asked, snap), snap["variants"])
+        # extraction is one large expression, and each key's join reads the requests: both are worked out once
+        asked = checkpointed(resolve.rooted(checkpointed(self.requests(requests)), snap["roots"]))
+        found = resolve.decide(asked, checkpointed(resolve.candidates(asked, snap)), snap["variants"])
         return found, resolve.offers_for(found, self.tables()["offer"])
 
     def requests(self, requests: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ class Engine:
             "listing", "category", F.try_element_at("attributes", F.lit("generation")).alias("generation"), "dims", "product_type",
             F.transform(F.filter(ids, lambda i: (i["scope"] == "exact_variant") & i["ns"].isin("gtin", "mpn")), lambda i: F.concat_ws(":", i["ns"], i["canonical"])).alias("pin_keys"),
             F.array_distinct(F.concat(full_codes(F.col("title")), F.transform(coded, lambda i: i["canonical"]))).alias("code_keys"),
-            F.when(F.size(tokens) > 0, tokens).otherwise(fallback_tokens(F.col("title"), F.col("brand"))).alias("token_keys"),
+            F.when(F.size(tokens) > 0, tokens).otherwise(fallback_tokens(F.col("title"), F.col("brand"))).alias("token_keys"), (F.size(tokens) > 0).alias("coded"),
         )
 
     def export(self, path: str) -> None:

@@ -14,8 +14,8 @@ from skein.functions.text import clean, plain_number
 #: Attribute evidence.
 EVIDENCE = "struct<key:string,kind:string,value:string,raw:string,source_field:string,derivation:string>"
 
-# Colours, longest first as the longest wins; the alias is applied with the value.
-COLOURS = ["ocean blue", "ultramarine", "starlight", "midnight", "natural", "silver", "black", "white", "green", "blue", "gold", "gray", "grey", "pink", "blk", "red"]
+# Colours; the alias is applied with the value.
+COLOURS = ["black", "blk", "blue", "gold", "gray", "green", "grey", "midnight", "natural", "ocean blue", "pink", "red", "silver", "starlight", "ultramarine", "white"]
 # Phrases that name what is in the box.
 BUNDLES = [("single pair", "single_pair"), ("standard tools", "standard_tools"), ("watch only", "watch_only"), ("drive only", "drive_only"), ("standard pitcher", "standard_pitcher"), ("gift set", "gift_set"), ("set with travel", "gift_set")]
 

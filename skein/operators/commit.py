@@ -79,7 +79,7 @@ def catalog(log: DataFrame, policies: dict[str, Policy] | None = None, adapters:
 
 
 SCHEMAS = {
-    "listing": "listing_id string, source string, source_record_id string, lifecycle string, category string, attributes map<string,string>, unknown_attributes map<string,string>, provenance array<struct<canonical_field:string,source_field:string,raw_value:string,normalized_value:string,derivation:string,validity:string,event_key:string>>, history array<struct<event_key:string,update_mode:string,observed_at:string,received_at:string,adapter:string,applied:boolean>>, identifiers array<struct<ns:string,raw:string,canonical:string,scope:string,validity:string,source_field:string>>, tokens array<string>, raw string, universal_product_id string, variant_id string, missing_critical_dims array<string>, seller string, sku string, title string, brand string, origin string, type string, observed string, condition string",
+    "listing": "listing_id string, source string, source_record_id string, lifecycle string, category string, attributes map<string,string>, unknown_attributes map<string,string>, provenance array<struct<canonical_field:string,source_field:string,raw_value:string,normalized_value:string,derivation:string,validity:string,event_key:string>>, history array<struct<event_key:string,update_mode:string,observed_at:string,received_at:string,adapter:string,applied:boolean>>, identifiers array<struct<ns:string,raw:string,canonical:string,scope:string,validity:string,source_field:string>>, tokens array<string>, family array<string>, raw string, universal_product_id string, variant_id string, missing_critical_dims array<string>, seller string, sku string, title string, brand string, origin string, type string, observed string, condition string",
     "decision": "listing_id string, source string, source_record_id string, decision string, confidence double, universal_product_id string, variant_id string, positive array<struct<canonical_field:string,raw_value:string,note:string>>, negative array<struct<canonical_field:string,raw_value:string,note:string>>, hypotheses array<struct<universal_product_id:string,variant_id:string,score:double>>, candidates map<string,array<string>>, candidate_count int, scored array<string>",
     "product": "id string, category string, brand string, attrs map<string,string>, listings array<string>, variants array<string>",
     "variant": "id string, product string, attrs map<string,string>, listings array<string>",

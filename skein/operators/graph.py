@@ -16,7 +16,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of its own only where that is unset, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-"))
     return df.checkpoint()
 
 

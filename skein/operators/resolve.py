@@ -1,70 +1,121 @@
 """Read-only resolution: a table of requests against a catalog snapshot, all set-based.
 
-The decision ladder of the ordered fold without its writes: five equi-joins, one aggregation by listing and product, and
-one expression. Requests are independent of each other, so any number of them runs in parallel.
+Three equi-joins on keys (exact codes, whole codes, model-family roots), one aggregation by listing and product, and the
+ladder's rules as expressions. Requests are independent of each other, so any number of them runs in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from types import SimpleNamespace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.blocking import category_fits, conflicts, top_stratum, viable
+from skein.operators import ladder
+from skein.operators.blocking import category_fits, conflicts, generation_clashes, top_stratum, viable
+from skein.operators.graph import components
+
+GUESS = "array<struct<product:string,variant:string,score:double>>"
+
+
+def _guesses(products: Column, variants: Column, score: Column) -> Column:
+    """A hypothesis for each variant, or where there are none for each product; without a score, of equal shares."""
+    n = F.greatest(F.size(variants), F.lit(1))
+    share = F.coalesce(score, F.round(F.lit(1.0) / n + F.lit(1e-9), 2))
+    made = lambda product, variant: F.struct(product.alias("product"), variant.cast("string").alias("variant"), share.alias("score"))
+    return F.when(F.size(variants) > 0, F.transform(variants, lambda v: made(products[0], v))).otherwise(F.transform(products, lambda p: made(p, F.lit(None)))).cast(GUESS)
 
 
 def decide(requests: DataFrame, candidates: DataFrame, variants: DataFrame) -> DataFrame:
-    """``listing, decision, confidence, product, variant, n_candidates, hypotheses``.
+    """``listing, rule, decision, confidence, product, variant, n_candidates, n_scored, hypotheses, note``.
 
-    ``requests(listing, category, generation, dims, product_type)``; ``candidates(listing, product, category, generation,
-    strength, pins array)``, one row a product; ``variants(product, variant, attrs)``.
+    ``requests(listing, category, generation, dims, product_type, family)``, ``family`` being the roots of its model codes;
+    ``candidates(listing, product, category, generation, family, strength, pins array, named)``, one row a product that any
+    key reaches, ``named`` where a key reaches the product itself; ``variants(product, variant, attrs)``.
     """
-    met = candidates.join(requests.select("listing", F.col("category").alias("__c"), F.col("generation").alias("__g")), "listing")
-    known = F.col("generation").isNotNull() & F.col("__g").isNotNull()
-    allowed = met.where(category_fits(F.col("category"), F.col("__c")) & ~(known & (F.lower("generation") != F.lower("__g"))))
-    top = top_stratum(allowed.select("listing", "product", "strength", "pins"))
-    chosen = top.groupBy("listing").agg(F.count("*").alias("n_products"), F.min("product").alias("product"), F.max("strength").alias("strength"), F.array_sort(F.collect_set("product")).alias("products"), F.first("pins").alias("pins"))
-    seen = candidates.groupBy("listing").agg(F.count("*").alias("n_candidates"))
-    one = chosen.where("n_products = 1").join(requests.select("listing", "dims"), "listing").join(variants, "product", "left")
-    pinned = F.array_contains("pins", F.col("variant"))
-    fit = one.groupBy("listing").agg(
-        F.array_sort(F.collect_set(F.when(viable(F.col("dims"), F.col("attrs")), F.col("variant")))).alias("viable"),
-        F.array_sort(F.collect_set(F.when(pinned & ~conflicts(F.col("dims"), F.col("attrs")), F.col("variant")))).alias("pin_ok"),
-        F.array_sort(F.collect_set(F.when(pinned, F.col("variant")))).alias("pin_all"),
+    asked = requests.select("listing", *(F.col(c).alias(f"__{c}") for c in ("category", "generation", "family")))
+    met = candidates.join(asked, "listing").withColumn("__fits", category_fits(F.col("category"), F.col("__category")))
+    entities = F.size("pins") + F.col("named").cast("int")
+    seen = met.groupBy("listing").agg(
+        F.sum(entities).alias("n_candidates"), F.sum(F.when(F.col("__fits"), entities).otherwise(0)).alias("n_scored"),
+        F.array_sort(F.collect_set(F.when(F.col("__fits") & F.col("named"), F.col("product")))).alias("scored"),
+    )
+    both = (F.size("family") > 0) & (F.size("__family") > 0)
+    allowed = met.where(F.col("__fits") & ~generation_clashes(F.col("generation"), F.col("__generation")))
+    top = top_stratum(allowed.select("listing", "product", "strength", "pins", ((F.col("strength") == 3) & both & ~F.arrays_overlap("family", "__family")).alias("copied")))
+    chosen = top.groupBy("listing").agg(F.count("*").alias("best"), F.max("strength").alias("top"), F.array_sort(F.collect_set("product")).alias("products"), F.min_by("pins", "product").alias("pins"), F.bool_or("copied").alias("copied"))
+    none, no = F.array().cast("array<string>"), F.lit(False)
+    out = requests.join(seen, "listing", "left").join(chosen, "listing", "left")
+    facts = SimpleNamespace(
+        best=F.coalesce("best", F.lit(0)), top=F.coalesce("top", F.lit(0)), copied=F.coalesce("copied", no), candidates=F.coalesce("n_candidates", F.lit(0)),
+        mergeable=no, shared=F.lit(0), creatable=no, always=F.lit(True),  # nothing is merged or made; a shared code is a strong candidate already
     )
-    out = requests.join(seen, "listing", "left").join(chosen, "listing", "left").join(fit, "listing", "left")
-    n, no = F.coalesce("n_candidates", F.lit(0)), F.lit(None).cast("string")
-    unique = (F.col("n_products") == 1) & (F.col("product_type") == "primary_product")
-    by_pin = unique & (F.size("pin_ok") == 1)
-    contradicted = (F.size("pin_all") > 1) & (F.size("pin_ok") != 1)
-    by_fit = unique & ~by_pin & ~contradicted & (F.size("viable") == 1)
-    decision = F.when(by_pin | by_fit, "MATCH").when(n == 0, "NO_MATCH").otherwise("REVIEW")
-    confidence = F.when(by_pin, 0.95).when(by_fit, 0.9).when(n == 0, 0.2).otherwise(0.5)
-    hypotheses = F.when(by_pin | by_fit, F.array().cast("array<string>")).when(unique & (F.size("viable") > 1), F.col("viable")).otherwise(F.coalesce("products", F.array().cast("array<string>")))
+    out = out.withColumn("__by", ladder.named(ladder.PRODUCT, facts)).withColumn("__takes", ladder.of(ladder.PRODUCT, F.col("__by"), "takes", "string"))
+    one = out.where("__takes = 'best'").select("listing", "dims", F.col("products")[0].alias("product"), "pins").join(variants, "product", "left")
+    pinned, fits = F.array_contains("pins", F.col("variant")), ~conflicts(F.col("dims"), F.col("attrs"))
+    listed = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("variant"))))
+    held = one.groupBy("listing").agg(listed(F.lit(True)).alias("__variants"), listed(viable(F.col("dims"), F.col("attrs"))).alias("__viable"), listed(pinned).alias("__pins"), listed(pinned & fits).alias("__fitting"))
+    out = out.join(held, "listing", "left")
+    of = {c: F.coalesce(f"__{c}", none) for c in ("variants", "viable", "pins", "fitting")}
+    facts = SimpleNamespace(
+        secondary=F.col("product_type") != "primary_product", doubtful=F.lit(0), pins=F.size(of["pins"]), fitting=F.size(of["fitting"]), viable=F.size(of["viable"]), creatable=no, always=F.lit(True),
+    )
+    rules = [*(r for r in ladder.PRODUCT if r.decision), *ladder.VARIANT]
+    out = out.withColumn("rule", F.when(F.col("__takes").isNull(), F.col("__by")).otherwise(ladder.named(ladder.VARIANT, facts)))
+    kind, takes = ladder.of(rules, F.col("rule"), "guesses", "string"), ladder.of(rules, F.col("rule"), "takes", "string")
+    products = F.coalesce("products", none)
+    guessed = {"pins": of["pins"], "viable": of["viable"], "pins and viable": F.concat(of["pins"], of["viable"]), "variants": of["variants"]}
+    which = none
+    for name, array in guessed.items():
+        which = F.when(kind == name, array).otherwise(which)
+    whose = F.when(kind == "scored", F.coalesce("scored", none)).when(kind.isNull() | (kind.isin(*guessed) & (F.size(which) == 0)), none).otherwise(products)
+    known = F.col("__takes").isNotNull() & (F.col("rule") != "secondary")
     return out.select(
-        "listing", decision.alias("decision"), confidence.alias("confidence"), F.when(unique, F.col("product")).otherwise(no).alias("product"),
-        F.when(by_pin, F.col("pin_ok")[0]).when(by_fit, F.col("viable")[0]).otherwise(no).alias("variant"), n.alias("n_candidates"), hypotheses.alias("hypotheses"),
+        "listing", "rule", ladder.of(rules, F.col("rule"), "decision", "string").alias("decision"), ladder.of(rules, F.col("rule"), "confidence", "double").alias("confidence"),
+        F.when(known, products[0]).alias("product"), F.when(takes == "pin", of["fitting"][0]).when(takes == "viable", of["viable"][0]).alias("variant"),
+        F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), F.coalesce("n_scored", F.lit(0)).cast("long").alias("n_scored"),
+        _guesses(whose, which, ladder.of(rules, F.col("rule"), "score", "double")).alias("hypotheses"), ladder.of(rules, F.col("rule"), "note", "string").alias("note"),
     )
 
 
 def snapshot(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Keys of the catalog's products and variants, and the variants' attributes, from the catalog's tables."""
-    members = tables["listing"].where("universal_product_id is not null")
+    """Keys of the catalog's products and variants, roots of model tokens, and the variants' attributes, from the catalog's tables.
+
+    Tokens that one listing has together have one root, the least of those so connected.
+    """
+    listings, member = tables["listing"], F.col("universal_product_id").alias("product")
+    members = listings.where("universal_product_id is not null")
+    pairs = listings.where(F.size("tokens") > 0).select(F.col("tokens")[0].alias("a"), F.explode("tokens").alias("b")).distinct()
+    roots = components(pairs).select(F.col("node").alias("token"), F.col("component").alias("root"))
     code = F.filter("identifiers", lambda i: i["canonical"].isNotNull())
-    exact = members.where("variant_id is not null").select("universal_product_id", "variant_id", F.explode(F.transform(F.filter(code, lambda i: (i["scope"] == "exact_variant") & i["ns"].isin("gtin", "mpn")), lambda i: F.concat_ws(":", i["ns"], i["canonical"]))).alias("key"))
-    tokens = members.select("universal_product_id", F.explode("tokens").alias("key"))
-    codes = members.select("universal_product_id", F.explode(F.transform(F.filter(code, lambda i: i["ns"].isin("mpn", "style_code")), lambda i: i["canonical"])).alias("key"))
+    exact = F.transform(F.filter(code, lambda i: (i["scope"] == "exact_variant") & i["ns"].isin("gtin", "mpn")), lambda i: F.concat_ws(":", i["ns"], i["canonical"]))
+    codes = F.transform(F.filter(code, lambda i: i["ns"].isin("mpn", "style_code")), lambda i: i["canonical"])
+    rooted = lambda column: members.select(member, F.explode(column).alias("token")).join(roots, "token").select("product", "root").distinct()
+    families = rooted("family").groupBy("product").agg(F.array_sort(F.collect_set("root")).alias("family"))
+    products = tables["product"].select(F.col("id").alias("product"), "category", F.col("attrs")["generation"].alias("generation")).join(families, "product", "left")
     return {
-        "pins": exact.select("key", F.col("universal_product_id").alias("product"), F.col("variant_id").alias("variant")).distinct(),
-        "codes": codes.select("key", F.col("universal_product_id").alias("product")).distinct(), "tokens": tokens.select("key", F.col("universal_product_id").alias("product")).distinct(),
-        "products": tables["product"].select(F.col("id").alias("product"), "category", F.col("attrs")["generation"].alias("generation")), "variants": tables["variant"].select("product", F.col("id").alias("variant"), "attrs"),
+        "pins": members.where("variant_id is not null").select(F.explode(exact).alias("key"), member, F.col("variant_id").alias("variant")).distinct(),
+        "codes": members.select(F.explode(codes).alias("key"), member).distinct(), "tokens": rooted("tokens").select(F.col("root").alias("key"), "product"), "roots": roots,
+        "products": products.withColumn("family", F.coalesce("family", F.array().cast("array<string>"))), "variants": tables["variant"].select("product", F.col("id").alias("variant"), "attrs"),
     }
 
 
+def rooted(requests: DataFrame, roots: DataFrame) -> DataFrame:
+    """Requests with the roots of their ``token_keys`` in place of these, and as ``family`` where the keys are model codes (``coded``)."""
+    flat = requests.select("listing", F.explode("token_keys").alias("token")).join(roots, "token", "left")
+    own = flat.groupBy("listing").agg(F.array_sort(F.collect_set(F.coalesce("root", "token"))).alias("__roots"))
+    none = F.array().cast("array<string>")
+    out = requests.join(own, "listing", "left").withColumn("token_keys", F.coalesce("__roots", none))
+    return out.withColumn("family", F.when(F.col("coded"), F.col("token_keys")).otherwise(none)).drop("__roots")
+
+
 def candidates(requests: DataFrame, snap: dict[str, DataFrame]) -> DataFrame:
     """``requests(listing, pin_keys, code_keys, token_keys)`` -> candidates for ``decide``."""
-    meet = lambda keys, table, strength: requests.select("listing", F.explode(keys).alias("key")).join(snap[table], "key").select("listing", "product", F.lit(strength).alias("strength"), (F.col("variant") if table == "pins" else F.lit(None).cast("string")).alias("variant"))
+    none = F.lit(None).cast("string")
+    meet = lambda keys, table, strength: requests.select("listing", F.explode(keys).alias("key")).join(snap[table], "key").select("listing", "product", F.lit(strength).alias("strength"), (F.col("variant") if table == "pins" else none).alias("variant"))
     met = meet("pin_keys", "pins", 3).unionAll(meet("code_keys", "codes", 2)).unionAll(meet("token_keys", "tokens", 1))
-    return met.groupBy("listing", "product").agg(F.max("strength").alias("strength"), F.array_sort(F.collect_set("variant")).alias("pins")).join(snap["products"], "product")
+    found = met.groupBy("listing", "product").agg(F.max("strength").alias("strength"), F.array_sort(F.collect_set("variant")).alias("pins"), F.bool_or(F.col("variant").isNull()).alias("named"))
+    return found.join(snap["products"], "product")
 
 
 def offers_for(matches: DataFrame, offers: DataFrame) -> DataFrame:

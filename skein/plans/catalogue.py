@@ -229,7 +229,10 @@ def policy_dims(spark, d):
     return rows.groupBy(F.col("p_type").alias("category"), F.col("category").alias("named")).agg(F.count("*").alias("n"), F.sum(F.size("dims")).alias("dims"))
 
 
-POLICY_SQL = " union all ".join(f"select '{c}' as category, '{r}' as role, {len(x)} as dims" for c, p in policy.built_in().items() for r, x in zip(("product", "variant", "price_critical"), p, strict=True))
+# How many product, variant and price-critical dimensions each category has.
+POLICY_SQL = """select category, role, dims from (select category, unnest(['product', 'variant', 'price_critical']) as role, unnest(n) as dims from (values
+('phones', [3, 3, 2]), ('laptops', [3, 5, 5]), ('smartwatches', [3, 5, 3]), ('storage_devices', [3, 5, 3]), ('cameras', [3, 4, 3]), ('game_consoles', [3, 3, 3]), ('footwear', [3, 5, 3]),
+('beauty_and_fragrance', [3, 4, 4]), ('tires', [3, 8, 7]), ('power_tools', [4, 5, 5]), ('printer_supplies', [3, 6, 4]), ('books_media', [3, 7, 5]), ('networking', [3, 7, 5]), ('__default__', [3, 52, 52])) as c(category, n))"""
 
 
 @query(POLICY_SQL)
@@ -329,6 +332,56 @@ def token_components(spark, d):
     return graph.components(t(spark, d, "lineitem").selectExpr("concat('p', l_partkey) as a", "concat('s', l_suppkey) as b"))
 
 
+#: Every part is a request, and the parts are the catalog: three parts share an exact code, every second request names the whole code, all a token.
+RESOLVE_SQL = """with p as (select p_partkey, p_name || '|' || p_brand as product, p_name || '|' || p_brand || '|' || p_type || '|' || p_size as variant, p_type, p_size, p_brand, split_part(p_name, ' ', 1) as w1, split_part(p_name, ' ', 2) as w2,
+  case length(p_name) % 3 when 0 then 'unknown' else 'c' || (length(p_name) % 3) end as pcat, case when length(p_name) % 4 = 0 then substr(p_brand, 7) end as pgen from part),
+prod as (select distinct product, pcat, pgen, w1 from p), v as (select distinct product, variant, p_type from p),
+q as (select p_partkey as listing, case p_partkey % 3 when 0 then p_partkey // 3 when 2 then p_partkey // 3 + 1 end as pin, case when p_size % 2 = 0 then product end as code, w2 as token,
+  case p_size % 3 when 0 then 'unknown' else 'c' || (p_size % 3) end as cat, case when p_size % 4 = 0 then cast(p_size as varchar) end as gen, p_type as type, p_partkey % 11 = 0 as secondary, case when p_partkey % 5 <> 0 then w1 end as fam from p),
+pins as (select distinct q.listing, p.product, p.variant from q join p on q.pin = p.p_partkey // 3),
+c as (select listing, product, max(strength) as strength, count(distinct variant) as np, max(named) as named from (select listing, product, variant, 3 as strength, 0 as named from pins union all select listing, code, null, 2, 1 from q where code is not null
+  union all select q.listing, t.product, null, 1, 1 from q join (select distinct product, w2 from p) t on q.token = t.w2) group by 1, 2),
+m as (select c.*, q.cat = 'unknown' or pcat = 'unknown' or q.cat = pcat as fits, coalesce(pgen <> q.gen, false) as clash, coalesce(prod.w1 <> q.fam, false) as other from c join q using (listing) join prod using (product)),
+seen as (select listing, sum(np + named) as n_candidates, sum(case when fits then np + named else 0 end) as n_scored, count(*) filter (where fits and named = 1) as n_named from m group by 1),
+tops as (select * from (select *, rank() over (partition by listing order by strength desc) as r from m where fits and not clash) where r = 1),
+ch as (select listing, count(*) as best, max(strength) as top, min(product) as product, bool_or(strength = 3 and other) as copied from tops group by 1),
+s as (select q.listing, q.type, q.secondary, coalesce(best, 0) as best, ch.product, coalesce(n_candidates, 0) as n_candidates, coalesce(n_scored, 0) as n_scored, coalesce(n_named, 0) as n_named,
+  case when best = 1 and copied then 'copied code' when best = 1 then 'one product' when best > 1 and ch.top >= 2 then 'products differ' when best > 1 then 'weak tie' when coalesce(n_candidates, 0) = 0 then 'unknown' else 'dropped' end as prule
+  from q left join ch using (listing) left join seen using (listing)),
+f as (select s.listing, count(*) as nv, count(*) filter (where v.p_type = s.type) as viable, count(pins.variant) as pins, count(pins.variant) filter (where v.p_type = s.type) as fitting, min(v.variant) filter (where v.p_type = s.type) as v1,
+  min(pins.variant) filter (where v.p_type = s.type) as pin1 from s join v on v.product = s.product left join pins on pins.listing = s.listing and pins.variant = v.variant where prule = 'one product' group by 1),
+d as (select s.*, nv, viable, pins, v1, pin1, case when prule <> 'one product' then prule when secondary then 'secondary' when pins > 1 and fitting <> 1 then 'shared code' when fitting = 1 then 'pinned' when pins = 1 and viable > 1 then 'pin differs'
+  when viable > 1 then 'several' when viable = 1 then 'fits' when pins = 1 then 'pin alone' else 'no variant' end as rule from s left join f using (listing))
+select listing, rule, case when rule in ('pinned', 'fits') then 'MATCH' when rule = 'unknown' then 'NO_MATCH' else 'REVIEW' end as decision,
+cast(case rule when 'pinned' then 0.95 when 'fits' then 0.9 when 'unknown' then 0.2 when 'dropped' then 0.4 else 0.5 end as double) as confidence,
+case when prule = 'one product' and not secondary then product end as product, case rule when 'pinned' then pin1 when 'fits' then v1 end as variant, cast(n_candidates as bigint) as n_candidates, cast(n_scored as bigint) as n_scored,
+cast(case when rule in ('copied code', 'products differ', 'weak tie') then best when rule = 'dropped' then n_named when rule in ('secondary', 'pin alone') then 1 when rule = 'shared code' then pins when rule = 'pin differs' then pins + viable
+  when rule = 'several' then viable when rule = 'no variant' then nv else 0 end as bigint) as n_hypotheses from d"""
+
+
+@query(RESOLVE_SQL)
+def resolve_decisions(spark, d):
+    """Read-only resolution with categories, generations, families and exact codes, from keys to decisions."""
+    p = t(spark, d, "part").withColumns({
+        "product": F.expr("concat(p_name, '|', p_brand)"), "variant": F.expr("concat(p_name, '|', p_brand, '|', p_type, '|', p_size)"), "w1": F.split_part("p_name", F.lit(" "), F.lit(1)), "w2": F.split_part("p_name", F.lit(" "), F.lit(2)),
+    })
+    category = lambda n: F.expr(f"case {n} % 3 when 0 then 'unknown' else concat('c', {n} % 3) end")
+    listed = lambda when, value: F.filter(F.array(F.when(when, value)), lambda x: x.isNotNull())
+    both = F.map_from_arrays(F.array(F.lit("type"), F.lit("size")), F.array("p_type", F.col("p_size").cast("string")))
+    snap = {
+        "products": p.select("product", category("length(p_name)").alias("category"), F.expr("case when length(p_name) % 4 = 0 then substr(p_brand, 7) end").alias("generation"), F.array("w1").alias("family")).distinct(),
+        "variants": p.dropDuplicates(["product", "variant"]).select("product", "variant", both.alias("attrs")),
+        "pins": p.select(F.expr("concat('gtin:', p_partkey div 3)").alias("key"), "product", "variant").distinct(),
+        "codes": p.select(F.col("product").alias("key"), "product").distinct(), "tokens": p.select(F.col("w2").alias("key"), "product").distinct(),
+    }
+    asked = p.select(
+        F.col("p_partkey").alias("listing"), category("p_size").alias("category"), F.expr("case when p_size % 4 = 0 then cast(p_size as string) end").alias("generation"), F.create_map(F.lit("type"), "p_type").alias("dims"),
+        F.expr("case when p_partkey % 11 = 0 then 'accessory' else 'primary_product' end").alias("product_type"), listed(F.col("p_partkey") % 5 != 0, F.col("w1")).alias("family"),
+        listed(F.col("p_partkey") % 3 != 1, F.expr("concat('gtin:', p_partkey div 3 + if(p_partkey % 3 = 2, 1, 0))")).alias("pin_keys"), listed(F.col("p_size") % 2 == 0, F.col("product")).alias("code_keys"), F.array("w2").alias("token_keys"),
+    )
+    out = resolve.decide(asked, resolve.candidates(asked, snap), snap["variants"])
+    return out.select("listing", "rule", "decision", "confidence", "product", "variant", "n_candidates", "n_scored", F.size("hypotheses").cast("long").alias("n_hypotheses"))
+
 
 # ------------------------------------------------------------------ offers, checks, exports
 #: A line is an observation of the offer of a part by a supplier; a discount over 0.08 is a condition of the price.
@@ -423,15 +476,52 @@ def commit_catalog(spark, d):
     return committed(spark, d)["decision"].select("source_record_id", "decision", "universal_product_id", "variant_id", "candidate_count")
 
 
-CHECKS = """
-listing_ids raw_kept attributes_have_provenance category_set unknown_attributes_kept variants_have_products offers_have_variants offer_price_kind offer_comparability offer_seller_condition
-offer_sources offers_have_observations observation_event_key conditional_has_terms_or_hint installments_do_not_compare one_decision_a_listing decision_kind candidate_count scored_are_candidates
-match_has_signals review_has_no_variant ambiguity_has_hypotheses audit_complete variant_safety
-""".split()
+#: A catalog of one listing, product, variant, offer, observation and decision a part, each check broken for some of them.
+FAULTS = {
+    "listing_ids": "p_partkey % 97 = 1", "raw_kept": "p_partkey % 89 = 2", "attributes_have_provenance": "p_partkey % 83 = 3", "category_set": "p_partkey % 79 = 4", "unknown_attributes_kept": "p_partkey % 73 = 5",
+    "variants_have_products": "p_partkey % 71 = 6", "offers_have_variants": "p_partkey % 67 = 7", "offer_price_kind": "p_partkey % 61 = 8", "offer_comparability": "p_partkey % 59 = 9", "offer_seller_condition": "p_partkey % 53 = 10",
+    "offer_sources": "p_partkey % 47 = 11", "offers_have_observations": "p_partkey % 43 = 12", "observation_event_key": "p_partkey % 41 = 13 and p_partkey % 43 <> 12", "conditional_has_terms_or_hint": "p_partkey % 37 = 14 and p_partkey % 43 <> 12",
+    "installments_do_not_compare": "p_partkey % 31 = 15 and p_partkey % 37 <> 14 and p_partkey % 43 <> 12", "decision_kind": "p_partkey % 23 = 17 and p_partkey % 29 <> 16", "candidate_count": "p_partkey % 19 = 18 and p_partkey % 29 <> 16",
+    "scored_are_candidates": "p_partkey % 17 = 0 and p_partkey % 29 <> 16", "match_has_signals": "p_partkey % 13 = 0 and p_partkey % 3 = 0 and p_partkey % 23 <> 17 and p_partkey % 29 <> 16",
+    "review_has_no_variant": "(p_partkey % 3 <> 0 or p_partkey % 23 = 17) and (p_partkey % 3 = 0 or p_partkey % 11 = 0) and p_partkey % 29 <> 16",
+    "ambiguity_has_hypotheses": "p_partkey % 3 = 1 and p_partkey % 23 <> 17 and p_partkey % 7 = 0 and p_partkey % 29 <> 16", "audit_complete": "p_partkey % 5 = 0 and (p_partkey % 2 = 0 or p_partkey % 3 = 0)",
+}
+CHECKS_SQL = " union all ".join(f"select '{c}' as \"check\", count(*) filter (where {bad}) as violations from part" for c, bad in FAULTS.items()) + """
+union all select 'one_decision_a_listing', (select count(*) from (select case when p_partkey % 97 <> 1 then p_partkey end from part except all select p_partkey from part where p_partkey % 29 <> 16))
+  + (select count(*) from (select p_partkey from part where p_partkey % 29 <> 16 except all select case when p_partkey % 97 <> 1 then p_partkey end from part))
+union all select 'variant_safety', count(*) from (select p_partkey // 2 from part group by 1 having count(distinct p_size) > 1)"""
+
+
+def faulty(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    p = t(spark, d, "part").withColumns({c: F.expr(bad) for c, bad in FAULTS.items()} | {"k": F.col("p_partkey").cast("string")})
+    unless, texts, none = (lambda check, value: F.when(~F.col(check), value)), (lambda *v: F.array(*map(F.lit, v)).cast("array<string>")), F.array().cast("array<string>")
+    kind = F.expr("case when p_partkey % 23 = 17 then 'MAYBE' when p_partkey % 3 = 0 then 'MATCH' when p_partkey % 3 = 1 then 'REVIEW' else 'NO_MATCH' end")
+    decided = p.where("p_partkey % 29 <> 16")
+    return {
+        "listing": p.select(unless("listing_ids", F.col("k")).alias("listing_id"), F.col("k").alias("source_record_id"), unless("raw_kept", F.lit("{}")).alias("raw"), F.create_map(F.lit("storage_gb"), F.col("p_size").cast("string")).alias("attributes"),
+            F.when(F.col("attributes_have_provenance"), none).otherwise(texts("note")).alias("provenance"), unless("category_set", F.lit("phones")).alias("category"), unless("unknown_attributes_kept", F.create_map(F.lit("a"), F.lit("b"))).alias("unknown_attributes"),
+            F.expr("concat('v', p_partkey div 2)").alias("variant_id")),
+        "product": p.where("not variants_have_products").select(F.concat(F.lit("p"), "k").alias("id")), "variant": p.select(F.concat(F.lit("v"), "k").alias("id"), F.concat(F.lit("p"), "k").alias("product")),
+        "offer": p.select(F.concat(F.lit("o"), "k").alias("id"), F.when(F.col("offers_have_variants"), "lost").otherwise(F.concat(F.lit("v"), "k")).alias("variant"), unless("offer_price_kind", F.lit(money.TOTAL)).alias("price_kind"),
+            F.when(F.col("offer_comparability"), "ODD").otherwise("COMPARABLE").alias("comparability"), unless("offer_seller_condition", F.lit("new")).alias("condition"), F.when(F.col("offer_sources"), none).otherwise(texts("r")).alias("records")),
+        "observation": p.where("not offers_have_observations").select(F.concat(F.lit("o"), "k").alias("offer"), unless("observation_event_key", F.lit("e")).alias("event_key"), F.when(F.col("conditional_has_terms_or_hint"), "CONDITIONAL").otherwise("COMPARABLE").alias("comparability"),
+            F.when(F.col("installments_do_not_compare"), "monthly_installment").otherwise(money.TOTAL).alias("price_kind"), unless("conditional_has_terms_or_hint", F.lit("{}")).alias("terms")),
+        "decision": decided.select(F.col("k").alias("listing_id"), kind.alias("decision"), F.create_map(F.lit("token_index"), texts("a", "b")).alias("candidates"), F.when(F.col("candidate_count"), 3).otherwise(2).alias("candidate_count"),
+            F.when(F.col("scored_are_candidates"), texts("z")).otherwise(texts("a")).alias("scored"), F.when(F.expr("p_partkey % 13 = 0"), none).otherwise(texts("s")).alias("positive"), F.when(F.expr("p_partkey % 3 = 0 or p_partkey % 11 = 0"), "v").alias("variant_id"),
+            F.when(F.expr("p_partkey % 7 = 0"), none).otherwise(texts("h")).alias("hypotheses")),
+        "audit": p.where("p_partkey % 5 = 0").select(F.when(F.expr("p_partkey % 2 <> 0"), F.col("k")).alias("listing"), F.when(F.expr("p_partkey % 3 <> 0"), "moved").alias("reason"), F.col("p_partkey").alias("seq")),
+    }
+
+
+@query(CHECKS_SQL)
+def conformance_checks(spark, d):
+    """Every check over a catalog with known faults."""
+    return checks.conformance(faulty(spark, d))
 
 
-@query(" union all ".join(f"select '{c}' as \"check\", 0 as violations" for c in CHECKS))
-def conformance_checks(spark, d):
+@query()
+def commit_conformance(spark, d):
+    """Every check over the catalog that the whole engine makes of the parts; the tests expect no violation and no empty table."""
     return checks.conformance(committed(spark, d))
 
 

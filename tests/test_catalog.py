@@ -110,6 +110,34 @@ def test_copied_code_abstains(spark):
     assert d["b"]["decision"] == "REVIEW" and d["b"]["universal_product_id"] is None
 
 
+def test_copied_code_abstains_read_only(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "log"))
+    engine.ingest(frame(spark, [event("a", title="Pine P16 phone", gtin="4006381333931")]).select(E.COLUMNS))
+    ask = lambda title: json.dumps({"title": title, "identifiers": {"gtin": "4006381333931"}})
+    found, _ = engine.resolve(spark.createDataFrame([("other", ask("Pine P15 phone")), ("same", ask("Pine P16 phone")), ("plain", ask("a phone"))], "listing string, payload string"))
+    got = {r.listing: r for r in found.collect()}
+    assert (got["other"].decision, got["other"].product, got["other"].rule) == ("REVIEW", None, "copied code")
+    assert [h.score for h in got["other"].hypotheses] == [0.5] and got["other"].hypotheses[0].variant is None
+    assert got["same"].decision == "MATCH" and got["same"].confidence == 0.95 and got["plain"].decision == "MATCH"
+
+
+def test_tokens_of_one_listing_are_one_root(spark, tmp_path):
+    """A listing that names two model tokens makes them one family for requests too."""
+    engine = Engine(spark, str(tmp_path / "log"))
+    engine.ingest(frame(spark, [event("a", title="Orchid OP16 alias ZX77", specs={"storage_gb": 256})]).select(E.COLUMNS))
+    found, _ = engine.resolve(spark.createDataFrame([("r", json.dumps({"title": "ZX77"}))], "listing string, payload string"))
+    (r,) = found.collect()
+    assert r.product is not None and r.n_candidates == 1
+
+
+def test_two_products_become_one(spark):
+    """A listing with strong evidence for two products unites them; the moved listing keeps an audit."""
+    two = [event("a", title="Orchid AB100", mpn="AB100", specs={"storage_gb": 256}), event("b", title="Orchid CD200", mpn="CD200", specs={"storage_gb": 256}), event("c", title="Orchid AB100 CD200", specs={"storage_gb": 256})]
+    made = commit.tables(commit.catalog(frame(spark, two))["entities"])
+    assert {r.universal_product_id for r in made["decision"].collect()} == {made["product"].first().id} and made["product"].count() == 1
+    assert [r.reason for r in made["audit"].collect()] == ["two products became one"]
+
+
 def test_engine_replay_and_resolve(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "log"))
     events = frame(spark, [event("a", gtin="4006381333931"), event("c", specs={"storage_gb": 512, "color": "black"}, title="Orchid Phone OP16 512GB black")]).select(E.COLUMNS)
