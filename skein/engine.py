@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import fallback_tokens, family_tokens, full_codes
 from skein.operators import commit, resolve
-from skein.operators.commit import prepared
 from skein.operators.evidence import critical_dims, precedence, wide
 from skein.operators.graph import checkpointed
 from skein.plans import export
@@ -29,14 +28,11 @@ class Engine:
     def ingest(self, events: DataFrame) -> dict[str, int]:
         """Appends the events that the log lacks; counters of what was delivered. Repeats change nothing."""
         seen = log.read(self.spark, self.log_path)
-        numbered = events.withColumn("seq", F.monotonically_increasing_id())
-        if seen is not None:
-            last = seen.agg(F.max("seq")).first()[0] or 0
-            numbered = seen.select(*E.COLUMNS, "seq").withColumn("__old", F.lit(True)).unionAll(numbered.select(*E.COLUMNS, F.col("seq") + F.lit(last + 1)).withColumn("__old", F.lit(False)))
-        else:
-            numbered = numbered.select(*E.COLUMNS, "seq").withColumn("__old", F.lit(False))
-        counts = log.counters(prepared(numbered, self.adapters).where("not __old")).first().asDict()
-        stored = log.append(events, self.log_path, self.adapters)
+        batch = log.delivered(events.select(*E.COLUMNS, *(c for c in events.columns if c == "ord")), seen, self.adapters)
+        old = checkpointed(log.related(seen, batch)) if seen is not None else None
+        found = log.statuses(batch, old).withColumn("mode", E.effective_mode(F.col("operation"), F.col("update_mode"))).withColumn("reason", log.reason(F.col("status"), F.col("adapter"), F.col("x")))
+        counts = log.counters(found).first().asDict()
+        stored = log.store(batch, old, self.log_path)
         self._catalog = None
         return counts | {"stored": stored}
 

@@ -69,16 +69,17 @@ def keyed(events: DataFrame, adapters: list[Adapter] | None = None) -> DataFrame
 def classify(deliveries: DataFrame) -> DataFrame:
     """Adds ``status``: new, duplicate or conflict; ``deliveries`` has event_key, payload_hash, seq, idempotency_key and record_id.
 
-    The idempotency key compares with the payload last stored under it, for the same record, among first deliveries.
+    The idempotency key compares with the payload last stored under it, for the same record, among first deliveries. Only
+    rows that have one are shuffled by it.
     """
     by_key = Window.partitionBy("event_key").orderBy("seq")
     out = deliveries.withColumn("__first", F.first("payload_hash").over(by_key)).withColumn("__nth", F.row_number().over(by_key))
-    once = (F.col("__nth") == 1) & (F.length(F.trim("idempotency_key")) > 0)
-    scope = F.when(once, F.concat_ws("|", "idempotency_key", F.coalesce("record_id", "payload_hash"))).otherwise(F.concat_ws("#", F.lit("none"), "event_key", F.xxhash64("seq").cast("string")))
-    again = Window.partitionBy(scope).orderBy("seq")
-    repeat = once & F.lag("payload_hash").over(again).eqNullSafe(F.col("payload_hash"))
-    status = F.when((F.col("__nth") > 1) & (F.col("payload_hash") != F.col("__first")), "conflict").when((F.col("__nth") > 1) | repeat, "duplicate").otherwise("new")
-    return out.withColumn("status", status).drop("__first", "__nth")
+    out = out.withColumn("__once", F.coalesce((F.col("__nth") == 1) & (F.length(F.trim("idempotency_key")) > 0), F.lit(False)))
+    again = Window.partitionBy("idempotency_key", F.coalesce("record_id", "payload_hash")).orderBy("seq")
+    scoped = out.where("__once").withColumn("__repeat", F.lag("payload_hash").over(again).eqNullSafe(F.col("payload_hash")))
+    out = scoped.unionAll(out.where("not __once").withColumn("__repeat", F.lit(False)))
+    status = F.when((F.col("__nth") > 1) & (F.col("payload_hash") != F.col("__first")), "conflict").when((F.col("__nth") > 1) | F.col("__repeat"), "duplicate").otherwise("new")
+    return out.withColumn("status", status).drop("__first", "__nth", "__once", "__repeat")
 
 
 def reason(status: Column, adapter: Column, x: Column) -> Column:
@@ -98,7 +99,11 @@ def counters(applied: DataFrame) -> DataFrame:
     )
 
 
-LOG = [*COLUMNS, "event_key", "payload_hash", "seq"]
+#: What tells deliveries apart; a log is searched by these columns alone.
+KEYS = ["event_key", "payload_hash", "idempotency_key", "record_id", "seq"]
+LOG = [*COLUMNS, "event_key", "payload_hash", "record_id", "seq"]
+#: Bytes of a batch's keys up to which they are broadcast to the log; beyond, both sides are shuffled.
+BROADCAST = 32 << 20
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -111,24 +116,62 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append(events: DataFrame, path: str, adapters: list[Adapter] | None = None) -> int:
-    """Appends deliveries that the log does not have yet, numbered after its last; returns how many.
+def _of(log: DataFrame, keys: DataFrame, column: str, most: int) -> DataFrame:
+    """Rows of the log whose ``column`` is among ``keys``, which are broadcast only when their measured size is small."""
+    keys = checkpointed(keys.select(column).distinct())
+    size = keys.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
+    return log.join(F.broadcast(keys) if size <= most else keys, column, "left_semi").select(KEYS)
+
+
+def related(log: DataFrame, batch: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """``KEYS`` of the stored rows that decide on a batch: those of its event keys, and of the event keys of its idempotency keys.
+
+    Payloads of the log are not read. While the batch's keys are small, the log is not shuffled either.
+    """
+    light = log.select(KEYS)
+    named = batch.where("length(trim(idempotency_key)) > 0")
+    keys = batch.select("event_key").unionAll(_of(light, named, "idempotency_key", most).select("event_key"))
+    return _of(light, keys, "event_key", most)
+
+
+def delivered(events: DataFrame, log: DataFrame | None, adapters: list[Adapter] | None = None) -> DataFrame:
+    """A batch with its keys, extracted once and numbered after the log's last row.
 
     Numbers follow the column ``ord`` if events has it, else the rows' order. They come from one range-partitioned sort:
     a partition's offset plus the place within.
     """
-    spark = events.sparkSession
-    log = read(spark, path)
-    ordered = events if "ord" in events.columns else events.withColumn("ord", F.monotonically_increasing_id())
-    first = Window.partitionBy("event_key", "payload_hash").orderBy("ord")
-    fresh = keyed(ordered, adapters).withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
-    if log is not None:
-        fresh = fresh.join(log.select("event_key", "payload_hash"), ["event_key", "payload_hash"], "left_anti")
     last = (log.agg(F.max("seq")).first()[0] if log is not None else None) or 0
+    ordered = events if "ord" in events.columns else events.withColumn("ord", F.monotonically_increasing_id())
     order = ["ord", "event_key", "payload_hash"]
-    fresh = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id() + F.lit(last + 1))
-    fresh.select(LOG).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("seq") > last).count()
+    out = checkpointed(keyed(ordered.drop("seq"), adapters)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return checkpointed(out.withColumn("seq", F.monotonically_increasing_id() + F.lit(last + 1)).drop("ord"))
+
+
+def statuses(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+    """``batch`` of ``delivered`` with ``status``, given the rows of the log that are ``related`` to it."""
+    new = batch.withColumn("__new", F.lit(True))
+    if old is not None:
+        new = new.unionByName(old.select(KEYS), allowMissingColumns=True)
+    return classify(new).where("__new").drop("__new")
+
+
+def store(batch: DataFrame, old: DataFrame | None, path: str) -> int:
+    """Appends the deliveries of ``delivered`` that the log lacks, the first of each; returns how many."""
+    first = Window.partitionBy("event_key", "payload_hash").orderBy("seq")
+    fresh = batch.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    if old is not None:
+        fresh = fresh.join(old.select("event_key", "payload_hash").distinct(), ["event_key", "payload_hash"], "left_anti")
+    fresh = checkpointed(fresh.select(LOG))
+    if n := fresh.count():
+        fresh.write.mode("append").parquet(path)
+    return n
+
+
+def append(events: DataFrame, path: str, adapters: list[Adapter] | None = None) -> int:
+    """Appends deliveries that the log does not have yet, numbered after its last; returns how many."""
+    log = read(events.sparkSession, path)
+    batch = delivered(events, log, adapters)
+    return store(batch, related(log, batch) if log is not None else None, path)
 
 
 def healed(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from skein.engine import Engine
 from skein.operators import checks, commit
 from skein.sources import events as E
+from skein.sources import log
 from skein.streaming import runner
 
 
@@ -181,3 +182,32 @@ def test_transports(spark, tmp_path):
     assert json.loads(E.read_csv(spark, str(tmp_path / "c.csv")).first().record) == {"record_id": "r1", "product_name": 'Phone, "big"'}
     good, bad = E.from_events(spark.createDataFrame([('{"event_id": "1", "payload": {"a": 1}}',), ('{"event_id": "2"}',)], "record string"))
     assert good.count() == 1 and bad.count() == 1
+
+
+def test_ingest_counts_like_the_whole_log(spark, tmp_path):
+    """Batch by batch, counters and quarantine are those of all deliveries at once, idempotency keys and conflicts included."""
+    def keyed(e, key):
+        return (*e[:E.COLUMNS.index("idempotency_key")], key, *e[E.COLUMNS.index("idempotency_key") + 1 :])
+
+    batches = [
+        [keyed(event("a", event_id="1"), "k"), event("b", event_id="2"), event("b", event_id="2")],
+        [keyed(event("a", event_id="3"), "k"), event("b", event_id="2", price=7.0), event("c", event_id="4")],  # repeats by key, conflicts
+        [keyed(event("a", event_id="5", price=8.0), "k"), keyed(event("a", event_id="6", price=8.0), "k"), event("c", event_id="4"), keyed(event("a", event_id="1"), "k")],
+    ]
+    engine = Engine(spark, str(tmp_path / "log"))
+    got = [engine.ingest(frame(spark, b).coalesce(1).select(E.COLUMNS)) for b in batches]
+    assert [(g["received"], g["accepted"], g["duplicates"], g["quarantined"], g["stored"]) for g in got] == [(3, 2, 1, 0, 2), (3, 1, 1, 1, 3), (4, 1, 3, 0, 2)]
+    whole = {r.event_key: r.status for r in log.classify(log.keyed(frame(spark, sum(batches, [])))).where("status = 'new'").collect()}
+    assert set(whole) == {r.event_key for r in log.classify(log.keyed(log.read(spark, engine.log_path).drop("event_key", "payload_hash", "record_id"))).where("status = 'new'").collect()}
+
+
+def test_stored_keys_are_found_by_shuffle_too(spark):
+    deliveries = spark.createDataFrame([("e1", "h1", "k", "r", 1), ("e2", "h2", "k", "r", 2), ("e3", "h3", None, "r", 3), ("e4", "h4", "  ", "r", 4)], "event_key string, payload_hash string, idempotency_key string, record_id string, seq long")
+    batch = deliveries.where("event_key in ('e2', 'e4')")
+    for most in (0, log.BROADCAST):
+        assert {r.event_key for r in log.related(deliveries, batch, most).collect()} == {"e1", "e2", "e4"}
+
+
+def test_healed_keeps_the_first_of_rows_stored_twice(spark):
+    twice = frame(spark, [event("a", event_id="1"), event("a", event_id="1"), event("a", event_id="1", price=5.0)])
+    assert sorted(r.seq for r in log.healed(twice).collect()) == [0, 2]
