@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from skein.sources.policy import DEFAULT, Policy, built_in, table
 
 
+# What provenance must distinguish, and the invalid evidence that it must keep.
+VOCABULARY = {"derivation": ["explicit", "normalized", "inferred"], "validity": ["invalid", "conflicting"]}
+
+
 def violations(df: DataFrame, name: str, bad) -> DataFrame:
     return df.agg(F.count_if(F.coalesce(bad, F.lit(True))).alias("violations")).select(F.lit(name).alias("check"), "violations")
 
@@ -39,6 +43,32 @@ def same_partitions(a: DataFrame, b: DataFrame) -> DataFrame:
     return same_ids(partitions(a), partitions(b), "members", "partitions")
 
 
+def vocabulary(provenance: DataFrame) -> DataFrame:
+    """Words that a catalog's provenance must use somewhere; ``provenance(derivation, validity)``. Only words are collected."""
+    seen = provenance.agg(F.collect_set("derivation").alias("derivation"), F.collect_set("validity").alias("validity"))
+    lost = [F.struct(F.lit(f"provenance_{c}").alias("check"), F.size(F.array_except(F.array(*map(F.lit, words)), c)).cast("long").alias("violations")) for c, words in VOCABULARY.items()]
+    return seen.select(F.explode(F.array(*lost)).alias("c")).select("c.*")
+
+
+def unpinned(listings: DataFrame, variants: DataFrame, policies: dict[str, Policy] | None = None) -> DataFrame:
+    """``variant, dim``: price-critical dimensions of matched listings that a listing of the variant asserts but the variant lacks.
+
+    ``listings(category, decision, variant_id, attributes)``, ``variants(id, attrs)``. Categories without a policy have none.
+    """
+    critical = F.broadcast(table(listings.sparkSession, policies or built_in()).where((F.col("role") == "price_critical") & (F.col("category") != DEFAULT)).select("category", "dim").distinct())
+    asserted = listings.where("variant_id is not null").select(F.col("variant_id").alias("variant"), F.explode("attributes").alias("dim", "value")).where("value is not null").select("variant", "dim").distinct()
+    matched = listings.where("decision = 'MATCH' and variant_id is not null").select("category", F.col("variant_id").alias("variant")).distinct()
+    held = variants.select(F.col("id").alias("variant"), F.explode(F.map_keys("attrs")).alias("dim"))
+    needed = matched.join(critical, "category").select("variant", "dim").distinct()
+    return needed.join(asserted, ["variant", "dim"], "left_semi").join(held, ["variant", "dim"], "left_anti")
+
+
+def lost_assignments(audit: DataFrame, observations: DataFrame) -> DataFrame:
+    """Audited changes whose earlier assignment no observation before them keeps; ``audit(record, seq, prior, new)``, ``observations(record, seq, value)``."""
+    first = observations.groupBy("record", F.col("value").alias("prior")).agg(F.min("seq").alias("__first"))
+    return audit.join(first, ["record", "prior"], "left").where("__first is null or __first >= seq").drop("__first")
+
+
 def pairs_agree(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Labelled pairs with ``passed``; both must match. ``pairs(a, b, same_product, same_variant)``."""
     side = lambda s: decisions.select(F.col("source_record_id").alias(s), F.col("decision").alias(f"d{s}"), F.col("universal_product_id").alias(f"p{s}"), F.col("variant_id").alias(f"v{s}"))

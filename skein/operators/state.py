@@ -35,3 +35,8 @@ def assignment_audit(events: DataFrame, assigned: Column) -> DataFrame:
     order = Window.partitionBy("record").orderBy("seq")
     rows = events.withColumn("new", assigned).withColumn("prior", F.lag(assigned).over(order))
     return rows.where("prior is not null and not (prior <=> new)").select("record", "seq", "prior", "new")
+
+
+def next_epoch(events: DataFrame) -> DataFrame:
+    """``source, record, epoch``: one more than the greatest lifecycle epoch that any event of the record declares; 1 without one."""
+    return events.groupBy("source", "record").agg((F.coalesce(F.max("epoch"), F.lit(0)) + 1).alias("epoch"))

@@ -12,27 +12,11 @@ from pyspark.sql import functions as F
 from skein.functions import identifiers, money, titles
 from skein.functions import text as T
 from skein.operators import blocking, checks, evidence, graph, offers, resolve, state
+from skein.plans import export, intake  # noqa: F401 (registers its queries)
+from skein.plans.registry import QUERIES, SQL, query, t
 from skein.sources import events as E
 from skein.sources import log, policy
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 #: A part's title, as a listing's: words, a model code, a measurement.
 TITLE = "concat(p_name, ' ', replace(p_brand, 'Brand#', 'BX'), '-', cast({p}p_size as {s}), ' ', cast({p}p_size as {s}), ' mm ', p_type)"
 TITLE_SQL, TITLE_SPARK = TITLE.format(p="", s="varchar"), TITLE.format(p="", s="string")
@@ -460,6 +444,63 @@ def catalog_stats(spark, d):
     return count("part", "parts").unionAll(count("supplier", "suppliers")).unionAll(count("lineitem", "observations")).unionAll(count("events", "events"))
 
 
+@query(f"select offer, array_to_string(list_sort(list(distinct listing)), ',') as sources, count(distinct listing) as n from ({OBSERVED_SQL}) group by 1")
+def offer_sources(spark, d):
+    """Listings behind each offer."""
+    out = offers.roll_up(observations(spark, d))
+    return out.select("offer", F.array_join(F.transform("listings", lambda x: x.cast("string")), ",").alias("sources"), F.size("listings").cast("long").alias("n"))
+
+
+@query("select user_id % 3 as source, user_id as record, coalesce(max(case when event_type = 'signup' then event_id % 5 end), 0) + 1 as epoch from events group by 1, 2")
+def next_epochs(spark, d):
+    return state.next_epoch(t(spark, d, "events").selectExpr("user_id % 3 as source", "user_id as record", "case when event_type = 'signup' then event_id % 5 end as epoch"))
+
+
+@query("""with p as (select case p_size % 3 when 0 then 'explicit' when 1 then 'normalized' else 'guessed' end as d, case when p_size % 2 = 0 then 'valid' else 'invalid' end as v from part)
+select 'provenance_derivation' as "check", (select count(*) from (select unnest(['explicit', 'normalized', 'inferred']) except select d from p)) as violations union all select 'provenance_validity', (select count(*) from (select unnest(['invalid', 'conflicting']) except select v from p))""")
+def provenance_vocabulary(spark, d):
+    """Words that provenance lacks: here none is inferred and none conflicts."""
+    return checks.vocabulary(t(spark, d, "part").selectExpr("case p_size % 3 when 0 then 'explicit' when 1 then 'normalized' else 'guessed' end as derivation", "if(p_size % 2 = 0, 'valid', 'invalid') as validity"))
+
+
+@query("""with p as (select p_partkey // 4 as v, p_partkey % 3 = 0 as matched, p_partkey % 5 = 0 as colored, p_partkey % 4 = 1 as stored, case when (p_partkey // 4) % 7 = 0 then 'unheard' else 'phones' end as cat from part),
+v as (select v, bool_or(matched and cat = 'phones') as needed, bool_or(colored) as colored, bool_or(stored) as stored from p group by 1)
+select v as variant, 'carrier' as dim from v where needed and colored and v % 2 = 0 union all select v, 'storage_gb' from v where needed and stored and v % 3 = 0""")
+def pinned_dimensions(spark, d):
+    """Price-critical dimensions of matched phones that a listing asserts and the variant lacks."""
+    dim = lambda when, key, value: F.when(F.expr(when), F.create_map(F.lit(key), F.lit(value))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = t(spark, d, "part").select(F.expr("if((p_partkey div 4) % 7 = 0, 'unheard', 'phones')").alias("category"), F.expr("if(p_partkey % 3 = 0, 'MATCH', 'REVIEW')").alias("decision"), F.expr("p_partkey div 4").alias("variant_id"), F.map_concat(dim("p_partkey % 5 = 0", "carrier", "x"), dim("p_partkey % 4 = 1", "storage_gb", "64")).alias("attributes"))
+    variants = rows.select(F.col("variant_id").alias("id")).distinct().withColumn("attrs", F.map_concat(dim("id % 2 <> 0", "carrier", "x"), dim("id % 3 <> 0", "storage_gb", "64")))
+    return checks.unpinned(rows, variants)
+
+
+@query("""with a as (select o_custkey as record, o_orderkey as seq, prior, o_orderstatus as new from (select *, lag(o_orderstatus) over (partition by o_custkey order by o_orderkey) as prior from orders) where prior is not null and prior <> o_orderstatus)
+select * from a where not exists (select 1 from orders o where o.o_custkey = a.record and o.o_orderkey < a.seq and o.o_orderstatus = a.prior and o.o_orderkey % 2 = 0)""")
+def lost_assignments(spark, d):
+    """Audited changes that no earlier observation explains, where observations of odd orders are missing."""
+    rows = t(spark, d, "orders").selectExpr("o_custkey as record", "o_orderkey as seq", "o_orderstatus", "o_orderstatus as value")
+    return checks.lost_assignments(state.assignment_audit(rows.drop("value"), F.col("o_orderstatus")), rows.where("seq % 2 = 0")).select("record", "seq", "prior", "new")
+
+
+@query("""with p as (select *, cast(p_partkey as varchar) as k from part), r(section, id, document) as (
+select 'normalized_listings', 'l' || k, '{"listing_id":"l' || k || '","source_record_id":"' || k || '","provenance":[{"value":"' || p_name || '","provenance_ref":"' || k || '-prov-0"},{"value":"' || p_type || '","provenance_ref":"' || k || '-prov-1"}]}' from p
+union all select 'universal_products', 'p' || k, '{"id":"p' || k || '"}' from p union all select 'variants', 'v' || k, '{"id":"v' || k || '","product":"p' || k || '"}' from p union all select 'offers', 'o' || k, '{"id":"o' || k || '","variant":"v' || k || '"}' from p
+union all select 'observations', 'o' || k || '|' || k, '{"offer":"o' || k || '","seq":' || k || '}' from p union all select 'resolution_decisions', 'l' || k, '{"listing_id":"l' || k || '","decision":"' || case when p_size % 2 = 0 then 'MATCH' else 'REVIEW' end || '"}' from p
+union all select 'resolution_history', k || '|l' || k, '{"seq":' || k || ',"listing":"l' || k || '"}' from p where p_size % 3 = 0 union all select 'quarantine', 's|' || k || '|e' || k, '{"source":"s","source_record_id":"' || k || '","event_key":"e' || k || '"}' from p where p_size % 5 = 0
+union all select 'stats', e, '{"entity":"' || e || '","n":' || n || '}' from (select e, case e when 'audit' then count(*) filter (where p_size % 3 = 0) when 'quarantine' then count(*) filter (where p_size % 5 = 0) when 'catalog_entity_count' then 3 * count(*) else count(*) end as n
+  from part, unnest(['listing', 'product', 'variant', 'offer', 'observation', 'decision', 'audit', 'quarantine', 'catalog_entity_count']) as x(e) group by 1)) select * from r""")
+def combined_document(spark, d):
+    """An export in one table: listings with references of their provenance, missing decisions as abstentions, counts."""
+    p = t(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    id_ = lambda letter, name: F.concat(F.lit(letter), "k").alias(name)
+    given = F.transform(F.array("p_name", "p_type"), lambda v: F.struct(v.alias("value"))).alias("provenance")
+    tables = {
+        "listing": p.select(id_("l", "listing_id"), F.col("k").alias("source_record_id"), given), "product": p.select(id_("p", "id")), "variant": p.select(id_("v", "id"), id_("p", "product")), "offer": p.select(id_("o", "id"), id_("v", "variant")),
+        "observation": p.select(id_("o", "offer"), F.col("p_partkey").alias("seq")), "decision": p.select(id_("l", "listing_id"), F.expr("case when p_size % 2 = 0 then 'MATCH' end").alias("decision")), "audit": p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("seq"), id_("l", "listing")),
+    }
+    return export.combined(tables, p.where("p_size % 5 = 0").select(F.lit("s").alias("source"), F.col("k").alias("source_record_id"), id_("e", "event_key")))
+
+
 def committed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Parts as a supplier's feed through the whole engine: log, adapters, components, fold."""
     from skein.operators import commit

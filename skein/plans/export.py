@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+QUARANTINED = ["source", "source_record_id", "event_key"]
 ORDER = {"listing": ["listing_id"], "decision": ["listing_id"], "product": ["id"], "variant": ["id"], "offer": ["id"], "observation": ["offer", "seq"], "audit": ["seq", "listing"]}
 
 
@@ -29,10 +32,27 @@ def stats(t: dict[str, DataFrame], quarantine: DataFrame) -> DataFrame:
     return counts.unionAll(total)
 
 
-def write(t: dict[str, DataFrame], quarantine: DataFrame, path: str) -> None:
-    """One folder of JSON lines for each table. Sorting is by range, so files in order are the table in order."""
+# Sections of the combined document.
+SECTIONS = {
+    "normalized_listings": "listing", "universal_products": "product", "variants": "variant", "offers": "offer", "observations": "observation", "resolution_decisions": "decision", "resolution_history": "audit",
+    "quarantine": "quarantine", "stats": "stats",
+}
+
+
+def combined(t: dict[str, DataFrame], quarantine: DataFrame) -> DataFrame:
+    """``section, id, document``: everything an export holds as JSON objects, one a row, so that no section is gathered."""
+    shaped = t | {"listing": normalized_listings(t["listing"]), "decision": decisions(t["decision"]), "quarantine": quarantine, "stats": stats(t, quarantine)}
+    keys = ORDER | {"quarantine": QUARANTINED, "stats": ["entity"]}
+    rows = [shaped[n].select(F.lit(s).alias("section"), F.concat_ws("|", *(F.col(k).cast("string") for k in keys[n])).alias("id"), F.to_json(F.struct("*")).alias("document")) for s, n in SECTIONS.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def write(t: dict[str, DataFrame], quarantine: DataFrame, path: str, document: bool = False) -> None:
+    """One folder of JSON lines for each table, and the combined document if wanted. Sorting is by range, so files in order are the table in order."""
     shaped = t | {"listing": normalized_listings(t["listing"]), "decision": decisions(t["decision"])}
     for name, df in shaped.items():
         df.orderBy(*ORDER[name]).write.mode("overwrite").json(f"{path}/{name}")
-    quarantine.orderBy("source", "source_record_id", "event_key").write.mode("overwrite").json(f"{path}/quarantine")
+    quarantine.orderBy(*QUARANTINED).write.mode("overwrite").json(f"{path}/quarantine")
     stats(t, quarantine).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    if document:
+        combined(t, quarantine).orderBy("section", "id").write.mode("overwrite").json(f"{path}/document")
