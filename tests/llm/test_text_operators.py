@@ -1,8 +1,10 @@
 """Operators over texts against brute force, on small fixtures with nulls, empties, repeats, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from fractions import Fraction
 
@@ -197,6 +199,26 @@ def test_quality(spark, none):
     assert quality.train(docs, labels.where("quality = 1")).score(np.array([1])) > 0.9
 
 
+def test_descent_reaches_the_optimum():
+    """The primal value of the descent's weights equals the dual's, which projected gradient ascent finds."""
+    r = np.random.default_rng(3)
+    rows = [np.sort(r.choice(12, 4, replace=False)) for _ in range(40)]
+    values, y = [r.normal(size=4) for _ in rows], np.where(r.random(40) < 0.7, 1.0, -1.0)
+    w, bias = quality.descend(rows, values, y, 1.0, 2000)
+    x = np.ones((40, 13))
+    x[:, :12] = 0
+    for i, (a, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, a] = v
+    z, cost = x * y[:, None], np.where(y > 0, 1.0, max(1.0, (y > 0).sum() / (y < 0).sum()) ** 0.5)
+    q, alpha = z @ z.T, np.zeros(40)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    got = np.append(w[:12], bias)
+    primal, dual = got @ got / 2 + (cost * np.maximum(0, 1 - z @ got)).sum(), alpha.sum() - alpha @ q @ alpha / 2
+    assert abs(primal - dual) < 1e-3 * dual
+
+
 def test_language(spark, none):
     r = random.Random(1)
     make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(40))
@@ -264,6 +286,19 @@ def test_sharding(docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_the_shard_has_the_highest_score(spark):
+    """Every score recomputed: Spark chains XXH64, the id's text first, then the shard as four bytes."""
+    weights = [1.0, 2.0, 0.5, 1.0, 3.0]
+    got = {r.id: r.s for r in spark.range(500).select("id", sharding.shard_of([F.col("id").cast("string")], weights).alias("s")).collect()}
+
+    def score(id_, shard):
+        seed = xxhash.xxh64_intdigest(str(id_).encode(), 42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11) + 0.5) / 2**53
+        return -weights[shard] / math.log(u)
+
+    assert got == {i: max(range(len(weights)), key=lambda s: (score(i, s), -s)) for i in range(500)}
+
+
 def test_shares_follow_weights(spark):
     n = spark.range(20000).select(sharding.shard_of([F.col("id")], [1.0, 3.0]).alias("s")).groupBy("s").count().collect()
     share = {r.s: r["count"] / 20000 for r in n}
