@@ -6,6 +6,9 @@ keys are the union over its events, so what a later event leaves out still conne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from skein.functions.money import comparability
 from skein.functions.text import canonical_value, fallback_tokens, family, family_tokens, full_codes, squeeze
 from skein.operators.fold import Component
-from skein.operators.graph import checkpointed, components
+from skein.operators.graph import checkpointed, components, written
 from skein.sources import log as event_log
 from skein.sources.adapters import Adapter
 from skein.sources.events import effective_mode
@@ -56,24 +59,42 @@ def event_keys(events: DataFrame) -> DataFrame:
     return flat.unionAll(skus).unionAll(mixed).distinct()
 
 
+def linked(keys: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` of records alone, with their components: each to the least record under its key, a key of one record to itself."""
+    keys = checkpointed(keys)
+    return keys.join(keys.groupBy("b").agg(F.min("a").alias("least")), "b").select("a", F.col("least").alias("b")).distinct()
+
+
+def _batches(state: Component) -> Iterator[pa.RecordBatch]:
+    rows = state.rows()
+    while part := list(islice(rows, 1024)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=["kind", "id", "doc"])
+
+
 def catalog(log: DataFrame, policies: dict[str, Policy] | None = None, adapters: list[Adapter] | None = None) -> dict[str, DataFrame]:
     """The catalog of a log: ``entities(kind, id, doc)``, ``quarantine``, ``classified`` and ``components(component, n)``."""
     policies = built_in() if policies is None else policies
     ready = checkpointed(prepared(log, adapters))
     good = ready.where("status = 'new' and reason is null")
-    of = components(event_keys(good))
+    of = components(linked(event_keys(good)))
     placed = good.withColumn("__rec", F.concat_ws("|", F.lit("rec"), "source", "x.record_id")).join(of.withColumnRenamed("node", "__rec"), "__rec").drop("__rec")
     columns = ["component", "seq", "source", "event_key", "mode", "corrects", "clock", "observed_clock", "received_at", "null_semantics", "adapter", "payload", "x", "attrs", "title_tokens", "title_codes", "fallback", "id_tokens", "id_codes", "comparability"]
     known = set(canonical_keys(policies))
 
-    def fold(table: pa.Table) -> pa.Table:
-        state = Component(policies, known)
-        for event in table.sort_by("seq").to_pylist():
-            state.apply(event)
-        rows = state.rows()
-        return pa.table({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(("kind", "id", "doc"))})
-
-    entities = checkpointed(placed.select(columns).groupBy("component").applyInArrow(fold, "kind string, id string, doc string"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, Component(policies, known)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                for event in batch.slice(lo, 256).to_pylist():
+                    if event["component"] != now:
+                        yield from _batches(state)
+                        now, state = event["component"], Component(policies, known)
+                    state.apply(event)
+        yield from _batches(state)
+
+    # a component's events come together and in order, so a task holds their state, not the events
+    ordered = placed.select(columns).repartition("component").sortWithinPartitions("component", "seq")
+    entities = written(ordered.mapInArrow(fold, "kind string, id string, doc string"), "kind")
     quarantine = ready.where("reason is not null").dropDuplicates(["event_key", "payload_hash"]).select("source", F.coalesce("record_id", F.concat(F.lit("unidentified:"), "payload_hash")).alias("source_record_id"), "reason", "event_key", F.col("payload").alias("raw"))
     return {"entities": entities, "quarantine": quarantine, "classified": ready, "components": placed.groupBy("component").agg(F.count("*").alias("n"))}
 

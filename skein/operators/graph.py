@@ -7,6 +7,7 @@ component's width. A round is two joins on the vertex; its lineage is cut by a c
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, by: str) -> DataFrame:
+    """Cuts the lineage of a table of which parts are read: Parquet in the shared folder with a directory for each value of ``by``."""
+    checkpointed(df.sparkSession.range(0))  # sets the folder where it is unset
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/skein-by-{by}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has, for work that costs more than its input's few files suggest."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``: the least node reachable. A self loop makes a node known."""
     both = checkpointed(edges.where("a is not null and b is not null").select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
