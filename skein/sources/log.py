@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import canonical_json, sha16
-from skein.operators.graph import checkpointed
+from skein.operators.graph import checkpointed, spread
 from skein.sources.adapters import Adapter, extract
 from skein.sources.events import COLUMNS
 
@@ -58,8 +58,9 @@ def event_key(source: Column, event_id: Column, batch_id: Column, record_id: Col
 
 def keyed(events: DataFrame, adapters: list[Adapter] | None = None) -> DataFrame:
     """Adds ``adapter, x, record_id, payload_hash, event_key``. Only payloads without an id from an adapter go through Python."""
-    # extraction is one large expression: it is evaluated once, not once for each column that is made of it
-    out = checkpointed(extract(events, adapters)).withColumn("record_id", F.when(F.length(F.trim("x.record_id")) > 0, F.col("x.record_id")))
+    # extraction is one large expression: it is evaluated once, not once for each column that is made of it; a few small
+    # files are few tasks, so rows are dealt anew before it
+    out = checkpointed(extract(spread(events), adapters)).withColumn("record_id", F.when(F.length(F.trim("x.record_id")) > 0, F.col("x.record_id")))
     unnamed = out.where("record_id is null").select("payload").distinct().mapInPandas(_sniff, "payload string, sniffed string")
     out = out.join(unnamed, (out["payload"] == unnamed["payload"]) & out["record_id"].isNull(), "left").drop(unnamed["payload"])
     out = out.withColumn("record_id", F.coalesce("record_id", "sniffed")).drop("sniffed").withColumn("payload_hash", payload_hash(F.col("payload")))

@@ -6,6 +6,7 @@ import pytest
 
 from skein.operators import commit
 from skein.operators.fold import Component
+from skein.sources import log
 from skein.sources.policy import built_in, canonical_keys
 from tests.test_catalog import event, frame
 
@@ -35,3 +36,10 @@ def test_an_index_counts_listings_by_what_they_are_assigned_to(made):
                 families.setdefault(l.product, Counter())[t] += 1
         assert counted == {k: c for k, c in state.index.items() if c} and families == {k: c for k, c in state.families.items() if c}
     assert len(state.listings) == 60 and max(map(len, state.index.values())) < 20
+
+
+def test_extraction_is_dealt_over_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(log, "checkpointed", lambda df: seen.append(df.rdd.getNumPartitions()) or df)
+    log.keyed(frame(spark, [event(f"r{i}") for i in range(20)]).coalesce(1))
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
