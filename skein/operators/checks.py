@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.sources.policy import DEFAULT, Policy, built_in, table
@@ -14,8 +14,10 @@ from skein.sources.policy import DEFAULT, Policy, built_in, table
 VOCABULARY = {"derivation": ["explicit", "normalized", "inferred"], "validity": ["invalid", "conflicting"]}
 
 
-def violations(df: DataFrame, name: str, bad) -> DataFrame:
-    return df.agg(F.count_if(F.coalesce(bad, F.lit(True))).alias("violations")).select(F.lit(name).alias("check"), "violations")
+def violations(df: DataFrame, **bad: Column) -> DataFrame:
+    """How many rows fail each check, of all checks in one pass."""
+    counts = df.agg(*(F.count_if(F.coalesce(b, F.lit(True))).alias(name) for name, b in bad.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(name).alias("violations")) for name in bad))).alias("c")).select("c.*")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, id_: str, name: str) -> DataFrame:
@@ -91,15 +93,24 @@ def conformance(t: dict[str, DataFrame], policies: dict[str, Policy] | None = No
     other = flat.join(critical.select("category").distinct(), "category", "left_anti").join(critical.where(F.col("category") == DEFAULT).select("dim"), "dim", "left_semi").select("category", "dim", "variant", "value")
     unsafe = variant_safety(named.select("variant", "dim", "value").unionAll(other.select("variant", "dim", "value")))
     out = [
-        violations(l, "listing_ids", F.col("listing_id").isNull() | F.col("source_record_id").isNull()), violations(l, "raw_kept", F.col("raw").isNull()),
-        violations(l, "attributes_have_provenance", (F.size("attributes") > 0) & (F.size("provenance") == 0)), violations(l, "category_set", F.col("category").isNull()), violations(l, "unknown_attributes_kept", F.col("unknown_attributes").isNull()),
+        violations(
+            l, listing_ids=F.col("listing_id").isNull() | F.col("source_record_id").isNull(), raw_kept=F.col("raw").isNull(), attributes_have_provenance=(F.size("attributes") > 0) & (F.size("provenance") == 0),
+            category_set=F.col("category").isNull(), unknown_attributes_kept=F.col("unknown_attributes").isNull(),
+        ),
         orphans(t["variant"], "product", t["product"], "id", "variants_have_products"), orphans(o, "variant", t["variant"], "id", "offers_have_variants"),
-        violations(o, "offer_price_kind", F.col("price_kind").isNull()), violations(o, "offer_comparability", ~F.col("comparability").isin(comparable)), violations(o, "offer_seller_condition", F.col("condition").isNull()), violations(o, "offer_sources", F.size("records") == 0),
-        orphans(o.withColumnRenamed("id", "offer"), "offer", b, "offer", "offers_have_observations"), violations(b, "observation_event_key", F.col("event_key").isNull()),
-        violations(b, "conditional_has_terms_or_hint", (F.col("comparability") == "CONDITIONAL") & F.col("terms").isNull()), violations(b, "installments_do_not_compare", (F.col("price_kind") == "monthly_installment") & (F.col("comparability") == "COMPARABLE")),
-        same_ids(l, d, "listing_id", "one_decision_a_listing"), violations(d, "decision_kind", ~F.col("decision").isin(kinds)), violations(d, "candidate_count", F.col("candidate_count") != F.size(union)),
-        violations(d, "scored_are_candidates", F.size(F.array_except("scored", union)) > 0), violations(d, "match_has_signals", (F.col("decision") == "MATCH") & (F.size("positive") == 0)), violations(d, "review_has_no_variant", (F.col("decision") != "MATCH") & F.col("variant_id").isNotNull()),
-        violations(d, "ambiguity_has_hypotheses", (F.col("decision") == "REVIEW") & (F.col("candidate_count") > 1) & (F.size("hypotheses") == 0)), violations(t["audit"], "audit_complete", F.col("listing").isNull() | F.col("reason").isNull() | F.col("seq").isNull()),
+        violations(o, offer_price_kind=F.col("price_kind").isNull(), offer_comparability=~F.col("comparability").isin(comparable), offer_seller_condition=F.col("condition").isNull(), offer_sources=F.size("records") == 0),
+        orphans(o.withColumnRenamed("id", "offer"), "offer", b, "offer", "offers_have_observations"),
+        violations(
+            b, observation_event_key=F.col("event_key").isNull(), conditional_has_terms_or_hint=(F.col("comparability") == "CONDITIONAL") & F.col("terms").isNull(),
+            installments_do_not_compare=(F.col("price_kind") == "monthly_installment") & (F.col("comparability") == "COMPARABLE"),
+        ),
+        same_ids(l, d, "listing_id", "one_decision_a_listing"),
+        violations(
+            d, decision_kind=~F.col("decision").isin(kinds), candidate_count=F.col("candidate_count") != F.size(union), scored_are_candidates=F.size(F.array_except("scored", union)) > 0,
+            match_has_signals=(F.col("decision") == "MATCH") & (F.size("positive") == 0), review_has_no_variant=(F.col("decision") != "MATCH") & F.col("variant_id").isNotNull(),
+            ambiguity_has_hypotheses=(F.col("decision") == "REVIEW") & (F.col("candidate_count") > 1) & (F.size("hypotheses") == 0),
+        ),
+        violations(t["audit"], audit_complete=F.col("listing").isNull() | F.col("reason").isNull() | F.col("seq").isNull()),
         unsafe.agg(F.count("*").alias("violations")).select(F.lit("variant_safety").alias("check"), "violations"),
     ]
     return reduce(DataFrame.unionAll, out)

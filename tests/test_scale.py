@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from skein.operators import commit
+from skein.operators import checks, commit
 from skein.operators.fold import Component
 from skein.sources import log
 from skein.sources.policy import built_in, canonical_keys
@@ -43,3 +43,8 @@ def test_extraction_is_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(log, "checkpointed", lambda df: seen.append(df.rdd.getNumPartitions()) or df)
     log.keyed(frame(spark, [event(f"r{i}") for i in range(20)]).coalesce(1))
     assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_conformance_reads_a_table_once_for_all_checks_of_its_rows(made):
+    plan = checks.conformance(commit.tables(made["entities"]))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") < 25
