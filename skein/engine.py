@@ -54,7 +54,7 @@ class Engine:
         snap = resolve.snapshot(self.tables())
         # extraction is one large expression, and each key's join reads the requests: both are worked out once
         asked = checkpointed(resolve.rooted(checkpointed(self.requests(requests)), snap["roots"]))
-        found = resolve.decide(asked, checkpointed(resolve.candidates(asked, snap)), snap["variants"])
+        found = resolve.decide(asked, *map(checkpointed, resolve.candidates(asked, snap)), snap["variants"])
         return found, resolve.offers_for(found, self.tables()["offer"])
 
     def requests(self, requests: DataFrame) -> DataFrame:

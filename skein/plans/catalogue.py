@@ -363,7 +363,7 @@ def resolve_decisions(spark, d):
         F.expr("case when p_partkey % 11 = 0 then 'accessory' else 'primary_product' end").alias("product_type"), listed(F.col("p_partkey") % 5 != 0, F.col("w1")).alias("family"),
         listed(F.col("p_partkey") % 3 != 1, F.expr("concat('gtin:', p_partkey div 3 + if(p_partkey % 3 = 2, 1, 0))")).alias("pin_keys"), listed(F.col("p_size") % 2 == 0, F.col("product")).alias("code_keys"), F.array("w2").alias("token_keys"),
     )
-    out = resolve.decide(asked, resolve.candidates(asked, snap), snap["variants"])
+    out = resolve.decide(asked, *resolve.candidates(asked, snap), snap["variants"])
     return out.select("listing", "rule", "decision", "confidence", "product", "variant", "n_candidates", "n_scored", F.size("hypotheses").cast("long").alias("n_hypotheses"))
 
 

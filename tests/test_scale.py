@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from skein.operators import checks, commit
+from skein.operators import checks, commit, resolve
 from skein.operators.fold import Component
 from skein.sources import log
 from skein.sources.policy import built_in, canonical_keys
@@ -48,3 +48,17 @@ def test_extraction_is_dealt_over_tasks(spark, monkeypatch):
 def test_conformance_reads_a_table_once_for_all_checks_of_its_rows(made):
     plan = checks.conformance(commit.tables(made["entities"]))._jdf.queryExecution().analyzed().toString()
     assert plan.count("from_json") < 25
+
+
+def test_a_token_that_all_share_makes_no_pairs(spark):
+    """Requests of equal tokens, category and generation have their weak candidates in one row, not in one a pair."""
+    none = "array<string>"
+    asked = spark.range(300).selectExpr("id as listing", "'unknown' as category", "if(id % 2 = 0, '5', null) as generation", "map('size', '1') as dims", "'primary_product' as product_type", f"cast(array() as {none}) as family", f"cast(array() as {none}) as pin_keys", "if(id = 4, array('c7'), array()) as code_keys", "array('t') as token_keys")
+    p = spark.range(200).selectExpr("concat('p', id) as product", "'unknown' as category", "cast(id as string) as generation", f"cast(array() as {none}) as family", "concat('c', id) as code", "'t' as token", "concat('v', id) as variant", "map('size', '1') as attrs")
+    snap = {"products": p.select("product", "category", "generation", "family"), "pins": p.selectExpr("code as key", "product", "variant").limit(0), "codes": p.selectExpr("code as key", "product"), "tokens": p.selectExpr("token as key", "product")}
+    strong, weak = resolve.candidates(asked, snap)
+    assert (strong.count(), weak.count()) == (1, 2)
+    got = {r.listing: r for r in resolve.decide(asked, strong, weak, p.select("product", "variant", "attrs")).collect()}
+    assert len(got) == 300 and all(r.n_candidates == r.n_scored == 200 for r in got.values())
+    assert (got[0].rule, got[0].product, got[0].variant) == ("fits", "p5", "v5") and (got[1].rule, len(got[1].hypotheses)) == ("weak tie", 200)
+    assert got[4].rule == "fits" and got[4].product == "p5"  # the code's product is of another generation
