@@ -60,6 +60,11 @@ def volume_ml(text: Column) -> tuple[Column, Column, Column]:
 
 def title_attributes(title: Column, field: Column, cleaned: bool = False) -> Column:
     """All attributes of a title; empty for null. ``cleaned`` says that it is clean already."""
+    return F.coalesce(F.filter(slots(title, field, cleaned), lambda a: a.isNotNull()), F.array().cast(f"array<{EVIDENCE}>"))
+
+
+def slots(title: Column, field: Column, cleaned: bool = False) -> Column:
+    """An array of every attribute that a title may state, null where it does not."""
     text = title if cleaned else clean(title)
     low = F.lower(text)
     word = lambda pattern: low.rlike(rf"\b({pattern})\b")
@@ -69,7 +74,7 @@ def title_attributes(title: Column, field: Column, cleaned: bool = False) -> Col
     (gb, gb_words), (ml, ml_words, derived) = storage_gb(text), volume_ml(text)
     colour_ = colour(low)
     us, packs = r"(?i)\bus\s?(\d{1,2}(?:\.5)?)\b", F.regexp_extract(text, r"(?i)\b(\d)\s?[-\s]?pack\b|\b(\d)\s?x\b", 0)
-    found = F.array(
+    return F.array(
         named("color", F.when(colour_ == "blk", "black").otherwise(colour_), colour_),
         attribute("storage_gb", plain_number(gb), gb_words, field, "number"),
         number("storage_gb", r"(?i)\b(\d{1,2})\s?tb\b", 1000),
@@ -87,4 +92,3 @@ def title_attributes(title: Column, field: Column, cleaned: bool = False) -> Col
         number("generation", r"\b(20\d{2})\b"),
         named("formulation", *first((low.contains("eau de parfum") | word("edp"), "eau_de_parfum", "eau de parfum"), (low.contains("eau de toilette") | word("edt"), "eau_de_toilette", "eau de toilette"))),
     )
-    return F.coalesce(F.filter(found, lambda a: a.isNotNull()), F.array().cast(f"array<{EVIDENCE}>"))

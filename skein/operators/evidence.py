@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions import titles
+from skein.functions.text import clean
+from skein.operators.graph import spread
 from skein.sources.policy import Policy, dims_of
 
 
@@ -13,6 +16,17 @@ def rank(derivation: Column) -> Column:
     return F.when(derivation == "explicit", 3).when(derivation == "normalized", 2).when(derivation == "inferred", 1).otherwise(0)
 
 
+def title_evidence(rows: DataFrame, title: Column, field: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``a``, a row for each attribute of each title.
+
+    The clean title is a column before anything reads it, so that its expression is not repeated in every pattern, and rows
+    are dealt over tasks by then. Slots are exploded with their nulls: no filter on the array repeats the patterns.
+    """
+    read = spread(rows.select(*keep, clean(title).alias("__title"), field.alias("__field")))
+    read = read.select(*keep, titles.slots(F.col("__title"), F.col("__field"), cleaned=True).alias("__slots"))
+    return read.select(*keep, F.explode_outer("__slots").alias("a")).where("a is not null")
+
+
 def split_known(attrs: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``known``: whether the key may be state. Others are kept as unknown attributes."""
     return attrs.withColumn("known", F.col("key").isin(keys))

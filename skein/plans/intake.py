@@ -10,8 +10,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions import identifiers, titles
+from skein.functions import identifiers
 from skein.functions import text as T
+from skein.operators.evidence import title_evidence
 from skein.operators.graph import checkpointed
 from skein.plans.registry import query, t
 from skein.sources import events as E
@@ -155,7 +156,7 @@ def title_measures(spark, d):
     gb = "element_at(array(64, 128, 1024), cast(p_partkey % 3 + 1 as int))"
     even = template("red {{" + gb + "}}GB 16gb 8 gb ram 2 TB {{10 + p_size}} ml US 9.5 men's 15.6 inch {{10 + p_size}}mm 3-pack gift set digital {{2010 + p_size}} EDP ocean blue")
     odd = template("blk {{" + gb + "}}GB 8 gb ram 2 TB 1.7 fl oz us 10 women's 27-inch {{10 + p_size}}mm set with travel disc {{2010 + p_size}} eau de toilette")
-    rows = t(spark, d, "part").select("p_partkey", F.explode(titles.title_attributes(F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd), F.lit("title"))).alias("a"))
+    rows = title_evidence(t(spark, d, "part"), F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd), F.lit("title"), "p_partkey")
     return rows.select("p_partkey", "a.key", "a.kind", "a.value", "a.raw", "a.derivation")
 
 

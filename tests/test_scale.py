@@ -3,8 +3,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import checks, commit, resolve
+from skein.operators.evidence import title_evidence
 from skein.operators.fold import Component
 from skein.sources import log
 from skein.sources.policy import built_in, canonical_keys
@@ -62,3 +64,12 @@ def test_a_token_that_all_share_makes_no_pairs(spark):
     assert len(got) == 300 and all(r.n_candidates == r.n_scored == 200 for r in got.values())
     assert (got[0].rule, got[0].product, got[0].variant) == ("fits", "p5", "v5") and (got[1].rule, len(got[1].hypotheses)) == ("weak tie", 200)
     assert got[4].rule == "fits" and got[4].product == "p5"  # the code's product is of another generation
+
+
+def test_a_title_is_read_from_a_column(spark):
+    """The title's own expression is worked out once a row and on all tasks, whatever the number of patterns."""
+    title = F.concat(F.lit("red "), F.col("id").cast("string"), F.lit("GB 2 TB 30mm men's"))
+    rows = title_evidence(spark.range(64, 68, 1, 1), title, F.lit("title"), "id")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("GB 2 TB 30mm") == 1 and rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.id, r.a.key, r.a.value) for r in rows.collect()} == {(i, k, v) for i in range(64, 68) for k, v in (("color", "red"), ("storage_gb", str(i)), ("storage_gb", "2000"), ("case_size_mm", "30"), ("department", "mens"))}
