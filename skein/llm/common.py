@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Separator of the two keys of a prefix rank: rows are dealt over this many salts for every 100 MB of shuffle partitions.
 SALTS_PER_PARTITION = 4
@@ -24,23 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a small table: a reliable checkpoint in the shared folder, deleted by Spark once unused."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes a large table once, as zstd Parquet in the shared folder, and reads it back.
 
-    What follows does not run the writer's Python again, also not after an executor is lost.
+    What follows does not run the writer's Python again, also not after an executor is lost. Shuffle partitions are meant for
+    texts: a table of a few numbers a row, a ``narrow`` one, is written by an eighth as many tasks, to as many files.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, partitions(spark) // 8))
     path = f"{shared_dir(spark).rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
+    """``keep`` columns with the text as a string, and its place: a kept one itself, so that no text is sent to Python twice."""
+    if "text" in keep and docs.schema["text"].dataType == StringType():
+        return docs.select(*keep), keep.index("text")
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")), len(keep)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

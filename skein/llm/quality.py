@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import with_text
+
 BITS, ROWS, C, PASSES, KEEP = 17, 8000, 1.0, 12, 0.3
 SIZE = 1 << BITS
 
@@ -108,7 +110,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = C, passes: int =
             count[s][r] += 1
     n = {s: 2 + ((y == s) & ~held).sum() for s in count}
     ratio = np.log(count[1.0] / n[1.0]) - np.log(count[-1.0] / n[-1.0])
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
+    values = np.split(np.empty(sum(map(len, rows))), np.cumsum([len(r) for r in rows])[:-1])  # one block, that the system gets back
+    for r, v in zip(rows, values, strict=True):
+        np.divide(ratio[r], np.sqrt(max(1, len(r))), out=v)
     on = np.flatnonzero(~held)
     w, bias = descend([rows[i] for i in on], [values[i] for i in on], y[on], c, passes)
     margin = np.array([w[r] @ v + bias for r, v in zip(rows, values, strict=True)])
@@ -137,8 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("quality"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "quality", "features"])
 
     got = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id string, quality int, features array<int>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (zlib.crc32(got["doc_id"][i].as_py().encode()), got["doc_id"][i].as_py(), i))
-    return fit([np.asarray(got["features"][i].values, np.int64) for i in order], np.array([got["quality"][i].as_py() for i in order]))
+    ids, quality = got["doc_id"].to_pylist(), got["quality"].to_numpy()
+    order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(ids[i].encode()), ids[i], i)), np.int64)
+    found = got["features"].combine_chunks().take(pa.array(order))
+    rows = np.split(found.flatten().to_numpy().astype(np.int64), found.offsets.to_numpy()[1:-1]) if len(ids) else []
+    del got, found
+    pa.default_memory_pool().release_unused()  # the driver keeps running, often through more stages
+    return fit(rows, quality[order])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -149,15 +158,16 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     keep = [c for c in keep if c.lower() != "score"]
     schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
+    sent, at = with_text(docs, keep)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2^BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            scores = [own.score(features(t.as_py() or b"")) for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
+            scores = [own.score(features(t.as_py() or b"")) for t in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.automaton import Scanner
+from skein.llm.common import with_text
 
 
 class Rule(NamedTuple):
@@ -71,14 +72,15 @@ def scan(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> D
     """
     keep = [c for c in keep if c.lower() != "spans"]
     schema = docs.select(*keep, F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)").alias("spans")).schema
+    sent, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            texts = batch.column(at).cast(pa.binary())
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(t.as_py() or b"", rules)] for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(SPAN))], names=[*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(SPAN))], names=[*keep, "spans"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def masked(text: Column, spans_: Column, label: str = "<secret>") -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import stored
-from skein.llm.components import connected_components
+from skein.llm.components import connected_components, joined_stars, labelled, stars as star_edges
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares with each other.
@@ -230,7 +230,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, words: int, bound: Fraction) ->
                     ok.append(alike(shingles(text.as_py(), words), own, bound))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
-    pairs = stored(pairs.select("u", "v"), "minhash-pairs")
+    pairs = stored(pairs.select("u", "v"), "minhash-pairs", narrow=True)
     parts = pairs.groupBy("v").agg((F.count("*") / STAR).cast("int").alias("parts"))
     dealt = pairs.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts") + 1).alias("part"))
     rows = dealt.unionAll(dealt.select(F.col("v").alias("u"), "v", "part").distinct())
@@ -300,10 +300,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column(2).cast(pa.binary())]
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2).cast(pa.binary())), np.uint64, batch.num_rows)
-            made = [pa.array(fps.view(np.int64)), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array([own.keys(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "text_hash", "fp", "digest", "size", "keys"])
+            for lo in range(0, batch.num_rows, 1024):  # all rows; sets of so many at a time
+                part = batch.slice(lo, 1024)
+                given = [t.as_py() for t in part.column(2).cast(pa.binary())]
+                sets = [shingles(t, words) for t in given]
+                fps = np.fromiter(map(fingerprint, given), np.uint64, len(given))
+                made = [pa.array(fps.view(np.int64)), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array([own.keys(h) for h in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *made], names=["doc_id", "text_hash", "fp", "digest", "size", "keys"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     schema = texts.select("doc_id", "text_hash", F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("digest"), F.lit(0).cast("long").alias("size"), F.array(F.lit(0).cast("long")).alias("keys")).schema
@@ -318,11 +321,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     met = stored(met.join(degrees, "id"), "minhash-degrees")
     fits = F.least("size", "other_size") * F.lit(bound.denominator) >= F.greatest("size", "other_size") * F.lit(bound.numerator)
     prints = stored(seen.select("fp", "digest").distinct().join(nodes.select("digest", "id"), "digest").select("fp", "id"), "simhash-prints")
-    near = stored(_near(prints, nodes, radius).where(fits).select("u", "v"), "simhash-pairs")
+    near = stored(_near(prints, nodes, radius).where(fits).select("u", "v"), "simhash-pairs", narrow=True)
     asked = nodes.join(met.select("id").unionAll(near.select("u")).unionAll(near.select("v")).distinct(), "id", "left_semi").select("id", F.col("first.text_hash").alias("text_hash"))
     asked = stored(texts.select("text_hash", "text").join(asked, "text_hash").dropDuplicates(["text_hash", "id"]).select("id", "text"), "minhash-texts")
     together = lambda cc: met if cc is None else met.join(cc.withColumnRenamed("node", "id"), "id", "left")
-    tested, cc = None, None
+    tested, linked, cc = None, None, None
     for k in range(stars + 1):
         now = together(cc).select("h", "id", "size", "degree", (F.lit(None).cast("long") if cc is None else F.col("component")).alias("component"))
         now = now.withColumn("label", F.coalesce("component", "id"))
@@ -332,13 +335,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             pairs = pairs.where("label != other_label").where(fits).select(F.col("id").alias("u"), F.col("other").alias("v"))
             pairs = (pairs.unionAll(near) if tested is None else pairs).distinct()
         else:
-            pairs = _sharing(stored(now.join(live.select("h"), "h", "left_semi").select("id", "size", "label").distinct(), "minhash-live"), asked, words, bound)
+            pairs = _sharing(stored(now.join(live.select("h"), "h", "left_semi").select("id", "size", "label").distinct(), "minhash-live", narrow=True), asked, words, bound)
         if tested is not None:
             for a, b in (("u", "v"), ("v", "u")):
                 pairs = pairs.join(tested.select(F.col(a).alias("u"), F.col(b).alias("v")), ["u", "v"], "left_anti")
         checked = _checked(pairs, asked, words, bound)
         tested = checked if tested is None else tested.unionAll(checked)
-        cc = connected_components(tested.where("ok").select("u", "v"))
+        found = checked.where("ok").select("u", "v")
+        linked = star_edges(found) if linked is None else joined_stars(linked, found)
+        cc = labelled(linked)
     of = nodes.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     least = of.groupBy("label").agg(F.min("rep").alias("component_id"), F.min("first").alias("kept_row"))
     met = seen.select("doc_id", "text_hash", "digest").join(of.join(least, "label").select("digest", "component_id", "kept_row"), "digest")
