@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import salt, stored
-from skein.llm.tokens import word_ids
+from skein.llm.tokens import TEXT, runs, word_ids
 
 WINDOW, QUANTUM, DEPTH, END = 2048, 32, 4, 1
 #: Documents of a range that is packed by itself where an order is given: one period of the mixture.
@@ -142,10 +142,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, keep: list[str]) -> Dat
         words = word_ids(tokenizer)
         last, width = np.array([end], words.dtype).tobytes(), words.dtype.itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [words.ids(t.as_py() or b"") + last for t in part.column(part.num_columns - 1).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(i) // width for i in ids], pa.int64())], names=[*keep, "ids", "n"])
+            texts = batch.column(batch.num_columns - 1).cast(pa.string())
+            for lo, hi in runs(texts, TEXT):
+                part = batch.slice(lo, hi - lo)
+                ids, n = words.many(texts.slice(lo, hi - lo), last)
+                ends = pa.array(np.append(0, n.cumsum() * width)).cast(pa.int32())
+                column = pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column, pa.array(n, pa.int64())], names=[*keep, "ids", "n"])
 
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
 

@@ -1,18 +1,21 @@
 """Token ids of whole texts by a public tokenizer, with a bounded store of the words met before.
 
 The tokenizer drops white space and never merges over it, so a text's ids are its blank-separated chunks' ids in turn.
-Chunks come from one byte split; only new ones are encoded. A text that holds the start of a special token, and any
-vocabulary that keeps white space, is encoded as a whole.
+Chunks come from one split of many texts; each is looked up once, and only new ones are encoded. A text that holds the
+start of a special token, and any vocabulary that keeps white space, is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 
@@ -22,6 +25,32 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Marks that, after a word, are one piece of their own. Not the apostrophe, which may begin a contraction.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: A word of Latin letters without combining marks, whose lower case is one letter each.
+LETTERS = "^[" + "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower().isalpha()) + "]+$"
+
+#: Bytes of text that are split and looked up together, and of new words that the model gets at a time.
+TEXT, NEW = 4 << 20, 1 << 18
+
+
+def listed(strings: pa.StringArray) -> list[bytes]:
+    return strings.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def runs(strings: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive strings of about ``most`` bytes together, each counted as 16 more; a longer one is in a run with few others."""
+    sizes = pc.binary_length(strings).to_numpy().astype(np.int64) + 16
+    first = np.flatnonzero(np.diff((sizes.cumsum() - sizes) // most, prepend=-1)).tolist()
+    return zip(first, [*first[1:], len(strings)], strict=False)
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ids that follow one another, with these sizes: the picked ones, and where each of them ends."""
+    n = sizes[picked]
+    ends = n.cumsum()
+    at = np.repeat((sizes.cumsum() - sizes)[picked] - (ends - n), n)
+    at += np.arange(len(at))
+    return ids[at], ends
+
 
 class WordIds:
     """``ids(text)``: little-endian ids of a text's bytes; equal to ``encode(text, add_special_tokens=False)``."""
@@ -55,56 +84,91 @@ class WordIds:
         return np.array(self.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def ids(self, text: bytes) -> bytes:
-        if not self.by_chunk or any(s in text for s in self.specials):
-            return self.whole(text.decode())
-        if self.lower and text.isascii():
-            text = text.lower()
-        chunks = text.split()
-        found = list(map(self.known.get, chunks))
-        if None in found:
-            new = self._encoded({c for c, i in zip(chunks, found, strict=True) if i is None})
-            if len(self.known) + len(new) <= self.most:
-                self.known.update(new)
-            found = [new[c] if i is None else i for c, i in zip(chunks, found, strict=True)]
-        return b"".join(found)
-
-    def _word(self, s: str) -> str | None:
-        """The normal form of a word of Latin letters without combining marks, as the model sees it; else None."""
-        if self.by_word and s.isalpha() and max(s) < "\u0250":
-            s = s.lower()
-            if s.isalpha():
-                return s if s.isascii() else s.encode().decode("latin-1").translate(self.byte_level)
-        return None
-
-    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Of new chunks: words, parted from marks after them, go to the model together and are told apart by their last tokens."""
-        known, got, words, split, odd = self.known, {}, {}, [], []
-        for c in chunks:
-            head = c.rstrip(MARKS) if self.by_word else b""
-            if not head or (w := self._word(head.decode())) is None:
-                odd.append(c)
-                continue
-            if head not in known:
-                words[head] = w
-            if head != c:
-                marks = c[len(head) :]
-                split.append((c, head, marks))
-                if marks not in known and marks not in got:
-                    got[marks] = self.whole(marks.decode())
-        if odd:
-            got.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(odd, self.batch([c.decode() for c in odd], add_special_tokens=False), strict=True))
-        if words:
-            ids = np.array(self.words([" ".join(words.values())], add_special_tokens=False)[0].ids, self.dtype)
-            at = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+        return self.many(pa.array([text.decode()]))[0].tobytes()
+
+    def many(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another and each text's with ``end`` after them, and their number by text.
+
+        A word is looked up once, however many of the texts hold it; new words go to the model together.
+        """
+        apart = np.full(len(texts), not self.by_chunk)
+        for s in self.specials:
+            apart |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        split = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts) if self.lower else texts
+        chunks = pc.ascii_split_whitespace(pc.if_else(pa.array(apart), "", split))
+        words, after = chunks.flatten().dictionary_encode(), chunks.offsets.to_numpy()[1:]
+        ids, sizes = self._chunks(words.dictionary)
+        whole = {i: self.whole(texts[i].as_py()) + end for i in np.flatnonzero(apart).tolist()}
+        last = np.full(len(texts), len(sizes))
+        last[list(whole)] = len(sizes) + 1 + np.arange(len(whole))
+        more, more_sizes = self._joined([end, *whole.values()])
+        ids, ends = gathered(np.append(ids, more), np.append(sizes, more_sizes), np.insert(words.indices.to_numpy(), after, last))
+        return ids, np.diff(ends[after + np.arange(len(texts))], prepend=0)
+
+    def _joined(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of each one's."""
+        return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, one after another, and their numbers. A word and marks after it are looked up apart."""
+        if not self.by_word:
+            return self._joined(self._found(chunks))
+        heads = pc.ascii_rtrim(chunks, MARKS.decode())
+        heads = pc.if_else(pc.match_substring_regex(heads, LETTERS), heads, chunks).dictionary_encode()
+        cut = pc.binary_length(heads.dictionary).to_numpy()[heads.indices.to_numpy()]
+        parted = np.flatnonzero(cut < pc.binary_length(chunks).to_numpy())
+        marks = [c[n:] for c, n in zip(listed(chunks.take(pa.array(parted))), cut[parted].tolist(), strict=True)]
+        marks = pa.array(marks, pa.binary()).cast(pa.string()).dictionary_encode()
+        ids, sizes = self._joined([*self._found(heads.dictionary), *self._found(marks.dictionary)])
+        picked = np.insert(heads.indices.to_numpy(), parted + 1, len(heads.dictionary) + marks.indices.to_numpy())
+        ids, ends = gathered(ids, sizes, picked)
+        rows = np.ones(len(chunks), np.int64)
+        rows[parted] = 2
+        return ids, np.diff(ends[rows.cumsum() - 1], prepend=0)
+
+    def _found(self, words: pa.StringArray) -> list[bytes]:
+        """The ids of different words."""
+        keys = listed(words)
+        found = list(map(self.known.get, keys))
+        new = [i for i, f in enumerate(found) if f is None]
+        if new:
+            words = words.take(pa.array(new))
+            for lo, hi in runs(words, NEW):
+                got = self._encoded(words.slice(lo, hi - lo))
+                if len(self.known) + len(got) <= self.most:
+                    self.known.update(got)
+                for i in new[lo:hi]:
+                    found[i] = got[keys[i]]
+        return found
+
+    def _encoded(self, words: pa.StringArray) -> dict[bytes, bytes]:
+        """Of new words: those of Latin letters go to the model as one text, and are told apart by their last tokens."""
+        got: dict[bytes, bytes] = {}
+        if self.by_word:
+            plain = pc.match_substring_regex(words, LETTERS)
+            lower, words = words.filter(plain), words.filter(pc.invert(plain))
+            keys = listed(lower)
+            ids = np.array(self.words([self._shown(" ".join(pc.utf8_lower(lower).to_pylist()))], add_special_tokens=False)[0].ids, self.dtype)
+            at = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
             raw = ids.tobytes()
-            if len(at) == len(words):
-                got.update((c, raw[a:b]) for c, a, b in zip(words, [0, *at.tolist()], at.tolist(), strict=False))
+            if len(at) == len(keys):
+                got = {c: raw[a:b] for c, a, b in zip(keys, [0, *at], at, strict=False)}
             else:  # a word's last token does not end it, or another one does: each by itself
-                got.update((c, self.whole(c.decode())) for c in words)
-        for c, head, marks in split:
-            got[c] = (got[head] if head in got else known[head]) + (got[marks] if marks in got else known[marks])
+                got = {c: self.whole(c.decode()) for c in keys}
+        odd = words.to_pylist()
+        got.update((c.encode(), np.array(e.ids, self.dtype).tobytes()) for c, e in zip(odd, self.batch(odd, add_special_tokens=False), strict=True))
         return got
 
+    def _shown(self, words: str) -> str:
+        """Words of Latin letters as the model sees them: a character for each byte."""
+        if words.isascii():
+            return words
+        words = words.encode().decode("latin-1")
+        for b, c in self.byte_level.items():
+            if b > 127:
+                words = words.replace(chr(b), chr(c))
+        return words
+
 
 @lru_cache(2)
 def word_ids(name: str) -> WordIds:

@@ -9,11 +9,12 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skein.llm import common, language, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup
+from skein.llm import common, language, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, tokens
 from skein.llm.anchors import anchors
 from skein.llm.automaton import Dfa
 from skein.llm.suffixes import Family
@@ -100,6 +101,38 @@ def test_tokens_equal_whole_encoding():
         assert np.frombuffer(w.ids(s.encode()), w.dtype).tolist() == w.encode(s, add_special_tokens=False).ids
 
 
+def test_many_texts_share_few_calls_of_the_model(monkeypatch):
+    """New words go to the model together, not text by text, and only once."""
+    texts = [f"{prose(20, i)} {''.join(map(chr, [97 + i % 26, 233, 97 + i // 26]))}, É{prose(1, i)}. x{i} {i}.5%," for i in range(300)]
+    texts += ["", " ", "  <|endoftext|> a", "H\u0331ello, İ. \u0130x!", "l'été's. Ünïcode", "\u3000a\u0085b", *texts[:5]]
+    texts += [f"a{chr(c)}b, {chr(c)}." for c in range(0x250)]
+    for by, most, new in ((len(texts), 1_000_000, tokens.NEW), (7, 50, 100)):
+        monkeypatch.setattr(tokens, "NEW", new)
+        w, sent = WordIds("word_bpe_49k.json", most), []
+        for name in ("words", "batch", "encode"):
+            monkeypatch.setattr(w, name, lambda x, f=getattr(w, name), **a: sent.append(x) or f(x, **a))
+        got, n = [], []
+        for lo in range(0, len(texts), by):
+            ids, counts = w.many(pa.array(texts)[lo : lo + by], np.array([1], w.dtype).tobytes())
+            got, n = got + ids.tolist(), n + counts.tolist()
+        if by == len(texts):
+            assert len(sent) <= 5
+            del sent[:]
+            w.many(pa.array(texts))
+            assert sent == ["  <|endoftext|> a"]
+        whole = [[*w.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert n == list(map(len, whole)) and got == sum(whole, [])
+
+
+def test_runs_hold_every_string():
+    for seed in range(50):
+        r = random.Random(seed)
+        strings = pa.array(["x" * r.choice([0, 1, 30, 500]) for _ in range(r.randrange(40))], pa.string())
+        found = list(tokens.runs(strings, 200))
+        assert [i for lo, hi in found for i in range(lo, hi)] == list(range(len(strings)))
+        assert all(sum(len(strings[i].as_py()) + 16 for i in range(lo, hi - 1)) < 200 for lo, hi in found)
+
+
 def test_plan_never_overuses():
     for seed in range(20):
         hist = np.random.default_rng(seed).integers(0, 60, 63)
