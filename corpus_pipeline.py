@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import mixing, packing, quality, secrets, simhash
-from skein.llm.common import partitions, stored
+from skein.llm.common import fewer, files, stored
 
 
 #: Columns that stages read; all others go through a stage under a name that nothing in it can clash with.
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = simhash.similar_documents(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     keyed = held(docs).withColumn("__text_hash", F.xxhash64("text"))
     met = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    return released(met.dropDuplicates(["doc_id", "__text_hash"]), docs)
+    return fewer(released(met.dropDuplicates(["doc_id", "__text_hash"]), docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document's file follows from its position: positions are gapless, so nothing is sampled to deal them.
     """
-    parts = partitions(spark)
+    parts = files(spark)
     each = max(1, -(-docs.count() // parts))
     placed = mixing.mix(held(docs)).repartitionById(parts, F.expr(f"cast(position div {each} as int)"))
     return released(placed.sortWithinPartitions("position"), docs)
@@ -85,7 +85,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are the end id alone; repeated rows are packed each. An empty table gives no piece.
     """
-    return packing.digest(packing.pack(in_file_order(spark, docs), order="position"))
+    return fewer(packing.digest(packing.pack(in_file_order(spark, docs), order="position")))
 
 
 STAGES = [

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import with_text
+from skein.llm.common import of_worker, with_text
 
 BITS, ROWS, C, PASSES, KEEP = 17, 8000, 1.0, 12, 0.3
 SIZE = 1 << BITS
@@ -162,6 +162,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2^BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_worker()
         own = shipped.value
         for batch in batches:
             scores = [own.score(features(t.as_py() or b"")) for t in batch.column(at).cast(pa.binary())]

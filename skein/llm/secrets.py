@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.automaton import Scanner
-from skein.llm.common import with_text
+from skein.llm.common import of_worker, with_text
 
 
 class Rule(NamedTuple):
@@ -75,6 +75,7 @@ def scan(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> D
     sent, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_worker()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(t.as_py() or b"", rules)] for t in texts]

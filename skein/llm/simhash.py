@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import fewer, of_worker, stored
 from skein.llm.components import connected_components, joined_stars, labelled, stars as star_edges
 
 BITS = 64
@@ -235,7 +235,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, words: int, bound: Fraction) ->
     dealt = pairs.join(parts, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts") + 1).alias("part"))
     rows = dealt.unionAll(dealt.select(F.col("v").alias("u"), "v", "part").distinct())
     met = rows.join(texts.select(F.col("id").alias("u"), "text"), "u").repartition("v", "part").sortWithinPartitions("v", "part", F.col("u") != F.col("v"))
-    return stored(met.select("u", "v", "text").mapInArrow(run, "u long, v long, ok boolean"), "minhash-checked")
+    return stored(fewer(met.select("u", "v", "text")).mapInArrow(run, "u long, v long, ok boolean"), "minhash-checked")
 
 
 def _sharing(live: DataFrame, texts: DataFrame, words: int, bound: Fraction) -> DataFrame:
@@ -261,7 +261,7 @@ def _sharing(live: DataFrame, texts: DataFrame, words: int, bound: Fraction) ->
     shared = tokens.join(often, "token").withColumns({"nth": F.row_number().over(by.orderBy("n", "token")), "k": F.count("*").over(by)})
     need = F.expr(f"(size * {bound.numerator} + {bound.denominator - 1}) div {bound.denominator}")
     first = shared.join(live, "id").withColumn("left", F.col("k") - F.col("nth") + 1).where(F.col("left") >= need)
-    first = stored(first.select("token", "id", "size", "label", "left"), "minhash-prefixes")
+    first = stored(fewer(first.select("token", "id", "size", "label", "left")), "minhash-prefixes")
     mixed = first.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("token")
     first = first.join(mixed, "token", "left_semi")
     other = first.select("token", *(F.col(c).alias(f"other_{c}") for c in ("id", "size", "label", "left")))
@@ -273,7 +273,7 @@ def _sharing(live: DataFrame, texts: DataFrame, words: int, bound: Fraction) ->
 
 def _near(prints: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
     """``prints(fp, id)`` -> pairs ``(u, v, size, other_size)`` that join all nodes whose fingerprints are linked within the radius."""
-    heads = stored(prints.groupBy("fp").agg(F.min("id").alias("head")), "simhash-heads")
+    heads = stored(prints.groupBy("fp").agg(F.min("id").alias("head")), "simhash-heads", narrow=True)
     same = prints.join(heads, "fp").select(F.col("id").alias("u"), F.col("head").alias("v"))
     end = lambda c, head: heads.select(F.col("fp").alias(c), F.col("head").alias(head))
     other = links(heads.select("fp"), radius).join(end("u", "__u"), "u").join(end("v", "__v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
@@ -299,6 +299,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     bound, own = Fraction(str(similarity)), MinHash(tables, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_worker()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):  # all rows; sets of so many at a time
                 part = batch.slice(lo, 1024)
@@ -313,17 +314,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     seen = stored(texts.mapInArrow(run, schema), "minhash-sets")
     row = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")  # a row with an id goes before one without
     nodes = seen.groupBy("digest", "size", "keys").agg(F.min("doc_id").alias("rep"), F.min(row).alias("first"))
-    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "minhash-nodes")
+    nodes = stored(fewer(nodes).withColumn("id", F.monotonically_increasing_id()), "minhash-nodes")
     dealt = nodes.select("id", "size", F.explode("keys").alias("h"))
     counts = dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = stored(dealt.join(counts, "h"), "minhash-buckets")
+    met = stored(fewer(dealt.join(counts, "h")), "minhash-buckets")
     degrees = met.join(met.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(F.sum("n").alias("degree"))
-    met = stored(met.join(degrees, "id"), "minhash-degrees")
+    met = stored(fewer(met.join(degrees, "id")), "minhash-degrees")
     fits = F.least("size", "other_size") * F.lit(bound.denominator) >= F.greatest("size", "other_size") * F.lit(bound.numerator)
-    prints = stored(seen.select("fp", "digest").distinct().join(nodes.select("digest", "id"), "digest").select("fp", "id"), "simhash-prints")
+    prints = stored(seen.select("fp", "digest").distinct().join(nodes.select("digest", "id"), "digest").select("fp", "id"), "simhash-prints", narrow=True)
     near = stored(_near(prints, nodes, radius).where(fits).select("u", "v"), "simhash-pairs", narrow=True)
     asked = nodes.join(met.select("id").unionAll(near.select("u")).unionAll(near.select("v")).distinct(), "id", "left_semi").select("id", F.col("first.text_hash").alias("text_hash"))
-    asked = stored(texts.select("text_hash", "text").join(asked, "text_hash").dropDuplicates(["text_hash", "id"]).select("id", "text"), "minhash-texts")
+    asked = stored(fewer(texts.select("text_hash", "text").join(asked, "text_hash").dropDuplicates(["text_hash", "id"]).select("id", "text")), "minhash-texts")
     together = lambda cc: met if cc is None else met.join(cc.withColumnRenamed("node", "id"), "id", "left")
     tested, linked, cc = None, None, None
     for k in range(stars + 1):

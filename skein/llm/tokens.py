@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from skein.llm.common import of_worker
 
 #: A task has one core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -170,7 +170,6 @@ class WordIds:
         return words
 
 
-@lru_cache(2)
 def word_ids(name: str) -> WordIds:
-    """One store a Python worker, used by all its tasks."""
-    return WordIds(name)
+    """One store a Python worker, used by all its tasks until the worker comes to another operator."""
+    return of_worker(("words", name), lambda: WordIds(name))

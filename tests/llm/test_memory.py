@@ -1,11 +1,14 @@
 """What the operators hold at a time: jobs of a search for components, the driver's arrays, texts sent to Python."""
 
 import random
+import weakref
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from skein.llm import common, components, quality, secrets
+import corpus_pipeline
+from skein.llm import common, components, quality, secrets, simhash, tokens
 
 
 def least(edges):
@@ -77,3 +80,48 @@ def test_narrow_tables_are_few_files(spark, monkeypatch):
     for narrow, files in ((False, 200), (True, 50)):
         out = common.stored(rows, "test", narrow=narrow)
         assert len(out.inputFiles()) == files and sorted(r.id for r in out.collect()) == list(range(5000))
+
+
+def test_stored_tables_have_no_checksum_files(spark):
+    rows = spark.range(300).selectExpr("id", "array(id, null) as ids", "cast(id as string) as text").repartition(3)
+    out = common.stored(rows, "test")
+    at = Path(out.inputFiles()[0].removeprefix("file://")).parent
+    assert sorted(p.suffix for p in at.iterdir()) == ["", ".parquet", ".parquet", ".parquet"]  # a process for each file less
+    assert sorted(out.collect()) == sorted(rows.collect())
+
+
+def test_tables_of_texts_are_a_quarter_as_many_files(spark, monkeypatch):
+    rows = spark.range(5000).repartition(200)
+    for parts, files in ((400, 100), (60, 48), (12, 12)):
+        monkeypatch.setattr(common, "partitions", lambda spark, n=parts: n)
+        assert len(common.stored(common.fewer(rows), "test").inputFiles()) == files
+    monkeypatch.setattr(common, "partitions", lambda spark: 240)
+    docs = spark.range(900).selectExpr("id as doc_id", "concat('word ', id) as text", "cast(id % 3 as string) as source", "0L as n_chars")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert len(mixed.rdd.glom().map(len).collect()) == 60 and mixed.select("doc_id").distinct().count() == 900
+
+
+@pytest.mark.parametrize("sender", ["quality", "secrets", "simhash"])
+def test_a_worker_keeps_what_one_operator_needs(spark, monkeypatch, sender):
+    docs, sent = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string"), []
+    given = docs.select("doc_id", "text").toArrow().to_batches()[:0]
+
+    def caught(self, run, schema):
+        sent.append(run)
+        raise InterruptedError
+
+    monkeypatch.setattr(type(docs), "mapInArrow", caught)
+    send = {
+        "quality": lambda: quality.score(docs, quality.Model(np.zeros(quality.SIZE), 0.0, 1.0, 0.0), ["doc_id"]),
+        "secrets": lambda: secrets.scan(docs, ["doc_id"]),
+        "simhash": lambda: simhash.similar_documents(docs),
+    }[sender]
+    with pytest.raises(InterruptedError):
+        send()
+    words = tokens.word_ids("word_bpe_49k.json")
+    words.ids(b"some words")
+    assert tokens.word_ids("word_bpe_49k.json") is words
+    gone = weakref.ref(words)
+    del words
+    assert list(sent[0](iter(given))) == [] and gone() is None
+    assert len(tokens.word_ids("word_bpe_49k.json").known) == 0
